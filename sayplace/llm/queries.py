@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sayplace.llm.decontaminate import scan
 from sayplace.llm.exact_dedup import exact_dedup
 from sayplace.llm.near_dedup import near_dedup
+from sayplace.llm.packing import pack
 from sayplace.llm.sharding import shard
 from sayplace.llm.token_count import token_counts
 
@@ -31,6 +32,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+def op8_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pack(_table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=1)
+    return rows.withColumnRenamed("id", "doc_id")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scan(_table(spark, sf_dir, "documents"), "doc_id", "text", _table(spark, sf_dir, "benchmark"), "item_id", "text")
     return rows.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
@@ -44,6 +50,7 @@ QUERIES = {
     "op1_rendezvous_sharding": op1_rendezvous_sharding,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op6_token_counts": op6_token_counts,
+    "op8_window_packing": op8_window_packing,
     "op9_decontamination": op9_decontamination,
     "op10_exact_dedup": op10_exact_dedup,
 }
