@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sayplace.llm.decontaminate import scan
@@ -12,6 +12,7 @@ from sayplace.llm.near_dedup import near_dedup
 from sayplace.llm.packing import pack
 from sayplace.llm.sharding import shard
 from sayplace.llm.token_count import token_counts
+from sayplace.llm.toxicity import Model, fit, scores
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +33,21 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+def held_out(doc_id: Column) -> Column:
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 4 == 2
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> Model:
+    labels = _table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id"))).select("doc_id", "toxic")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fit(docs.join(labels, "doc_id"), "doc_id", "text", "toxic")
+
+
+def op7_nb_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = scores(_table(spark, sf_dir, "documents"), "doc_id", "text", toxicity_model(spark, sf_dir))
+    return rows.select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pack(_table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=1)
     return rows.withColumnRenamed("id", "doc_id")
@@ -50,6 +66,7 @@ QUERIES = {
     "op1_rendezvous_sharding": op1_rendezvous_sharding,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op6_token_counts": op6_token_counts,
+    "op7_nb_toxicity": op7_nb_toxicity,
     "op8_window_packing": op8_window_packing,
     "op9_decontamination": op9_decontamination,
     "op10_exact_dedup": op10_exact_dedup,
