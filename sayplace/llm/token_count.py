@@ -18,7 +18,7 @@ from sayplace.llm.tokenizer import CACHE_CHARS, Remembered, byte_level_pieces
 #: Each task reports its commonest pieces, so many at most; the broadcast table has so many in all.
 PER_TASK, TABLE = 1024, 65536
 #: A task's counter is cut to a quarter, the commonest, when it has grown to this.
-COUNTER = 200_000
+COUNTER = 400_000
 
 _WORKER: dict = {}
 
@@ -37,10 +37,10 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            counts.update(p for p in byte_level_pieces(text or "") if len(p) <= CACHE_CHARS)
+            counts.update(byte_level_pieces(text or ""))
             if len(counts) > COUNTER:
                 counts = Counter(dict(counts.most_common(COUNTER // 4)))
-    best = [(p, n) for p, n in counts.most_common(PER_TASK) if n > 1]
+    best = [(p, n) for p, n in counts.most_common(PER_TASK) if n > 1 and len(p) <= CACHE_CHARS]
     yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in best], pa.string()), pa.array([n for _, n in best], pa.int64())], names=["piece", "n"])
 
 

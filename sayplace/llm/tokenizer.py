@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
+import numpy as np
 from tokenizers import Tokenizer
 
 #: Pieces a worker remembers at most, in each of two generations; longer ones go to the library each time.
-CACHE_PIECES, CACHE_CHARS = 300_000, 60
+CACHE_PIECES, CACHE_CHARS = 400_000, 60
 
 #: Python counts these as white space and the library doesn't: such texts go to the library whole.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -33,41 +35,87 @@ def word_pieces(text: str) -> list[str]:
     return text.split()
 
 
+#: What may follow a word in its piece and is a pre-token of its own.
+_AFTER = ".,!?;:"
+
+
 class Remembered:
-    """value(ids) of each piece, through a first table that is given and two generations of remembered pieces."""
+    """value(ids) of pieces, through a first table that is given and two generations of remembered pieces.
+
+    Values can be added up: a word with punctuation after it is the word's value and the punctuation's.
+    """
 
     def __init__(self, path: str, value, first: dict | None = None):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.specials = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        vocabulary = self.tokenizer.get_vocab()
+        #: Either a word's last token shows by its ending, or its first by the space it begins with.
+        self.ends = any(t.endswith("</w>") for t in vocabulary)
+        self.marked = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.marked[[i for t, i in vocabulary.items() if (t.endswith("</w>") if self.ends else t.startswith("\u0120"))]] = True
         self.value = value
         self.first = first or {}
-        self.young: dict = {}
+        self.young: dict = dict(self.first)
         self.old: dict = {}
 
     def encode(self, pieces: list[str]) -> list:
         return [self.value(e.ids) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
+    def encode_words(self, words: list[str]) -> list:
+        """Of words of letters alone, with a space before each unless ends are marked: one text for many, cut again at the marks."""
+        out = []
+        for k in range(0, len(words), 2000):
+            some = words[k : k + 2000]
+            ids = self.tokenizer.encode_batch_fast([(" " if self.ends else "").join(some)], add_special_tokens=False)[0].ids
+            at = np.flatnonzero(self.marked[ids])
+            if len(at) != len(some) or (at[-1] != len(ids) - 1 if self.ends else at[0] != 0):
+                out += self.encode(some)
+                continue
+            cuts = [0, *(at + 1).tolist()] if self.ends else [*at.tolist(), len(ids)]
+            out += [self.value(ids[a:b]) for a, b in zip(cuts, cuts[1:])]
+        return out
+
+    def _word(self, piece: str) -> str:
+        """The piece without punctuation at its end, if letters are left; else nothing."""
+        word = piece.rstrip(_AFTER)
+        if self.ends:
+            # What normal form and lower case make of the word must be letters too.
+            return word if word.isascii() and word.isalpha() or unicodedata.normalize("NFC", word).lower().isalpha() else ""
+        return word if word[:1] == " " and word[1:].isalpha() else ""
+
     def learn(self, pieces: set[str]) -> dict:
-        """Values of all these pieces; those of usual length are remembered."""
-        found, misses = {}, []
-        for p in pieces:
-            v = self.first.get(p)
-            if v is None:
-                v = self.young.get(p)
-                if v is None:
-                    v = self.old.get(p)
-                    if v is None:
-                        misses.append(p)
-                        continue
-                    self.young[p] = v
-            found[p] = v
-        if misses:
-            for p, v in zip(misses, self.encode(misses)):
-                found[p] = v
-                if len(p) <= CACHE_CHARS:
-                    self.young[p] = v
-        if len(self.young) > CACHE_PIECES:
-            self.old, self.young = self.young, {}
-        return found
+        """Values of all these pieces, and of others."""
+        if len(self.young) > CACHE_PIECES + len(self.first):
+            self.old, self.young = self.young, dict(self.first)
+        young, old = self.young, self.old
+        words, rest, joined = [], [], []
+        for p in pieces.difference(young):
+            v = old.get(p)
+            if v is not None:
+                young[p] = v
+                continue
+            w = self._word(p)
+            if not w:
+                rest.append(p)
+                continue
+            if w != p:
+                joined.append((p, w, p[len(w) :]))
+                rest.append(p[len(w) :])
+            words.append(w)
+        words, rest = [w for w in dict.fromkeys(words) if w not in young], [p for p in dict.fromkeys(rest) if p not in young]
+        young.update(zip(words, self.encode_words(words)))
+        young.update(zip(rest, self.encode(rest)))
+        for p, w, after in joined:
+            young[p] = young[w] + young[after]
+        long = [p for p in (*rest, *words) if len(p) > CACHE_CHARS]
+        if not long:
+            return young
+        out = young.copy() if len(young) < 1000 else dict(((p, young[p]) for p in pieces))
+        for p in long:
+            del young[p]
+        for p, w, after in joined:
+            if len(p) > CACHE_CHARS:
+                young.pop(p, None)
+        return out
