@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -82,12 +83,13 @@ def gapless(staged: DataFrame, group: list[str], bucket: str, order: list[str],
 FILTER_BITS = 1 << 25
 
 
-def key_filter(keys: DataFrame, column: str, bits: int = FILTER_BITS):
-    """A bitmap of fixed size (4 MB) over xxhash64 of a long column; never misses a key, may admit others.
+def key_filter(keys: DataFrame, column: str, bits: int = FILTER_BITS, hashed: bool = False):
+    """A bitmap of fixed size (4 MB) over xxhash64 of a column, or over the column if it is a hash already.
 
-    Its size doesn't depend on the keys; with very many keys it admits more, which costs time and not results.
+    It never misses a key and may admit others. Its size doesn't depend on the keys; with very many keys
+    it admits more, which costs time and not results.
     """
-    at = F.pmod(F.xxhash64(F.col(column)), F.lit(bits))
+    at = F.pmod(F.col(column) if hashed else F.xxhash64(F.col(column)), F.lit(bits))
     words = keys.select(at.alias("_at")).select(
         (F.col("_at") / 64).cast("int").alias("w"), F.expr("shiftleft(1L, cast(_at % 64 as int))").alias("b"),
     ).groupBy("w").agg(F.expr("bit_or(b)").alias("b"))
@@ -103,6 +105,16 @@ def admits(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
 
 
+def admitted(bitmap, hashes: Column) -> Column:
+    """Whether the broadcast bitmap admits a key, given its xxhash64; only the hashes go to Python."""
+
+    @F.pandas_udf("boolean")
+    def test(h: pd.Series) -> pd.Series:
+        return pd.Series(admits(bitmap.value, h.to_numpy()))
+
+    return test(hashes)
+
+
 def components(ws: Workspace, edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b), a != b: rows (node, root), root the smallest id reachable.
 

@@ -12,13 +12,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sayplace.llm.common import Workspace, admits, bound_batches, components, key_filter
+from sayplace.llm.common import FILTER_BITS, Workspace, admits, admitted, bound_batches, components, key_filter
 
 #: Values a sketch retains, and standard deviations of doubt that estimates allow for: a pair at the
 #: threshold is missed with a chance of about one in ten million. Sets of no more values are kept whole,
 #: so for them lists and estimates are exact.
 SKETCH, DOUBT = 128, 5.5
-#: Counters of the shared order of values; a fixed number, so the broadcast has a fixed size (1 MB).
+#: Counters for the common order of values; a fixed number, so the broadcast has a fixed size (1 MB).
+#: Any order that all sets share gives right results; a true one gives fewer candidates.
 COUNTERS = 1 << 18
 #: Leaders each list compares all its members with, in each of so many rounds; what is left is compared in full.
 LEADERS, ROUNDS = 4, 2
@@ -120,27 +121,24 @@ def _sketches(size: int):
     return run
 
 
-def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(COUNTERS, np.int64)
-    for batch in batches:
-        values = batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-        counts += np.bincount((values % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
-    at = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], names=["bucket", "n"])
+def _bucket(values: np.ndarray) -> np.ndarray:
+    """The counter of each value: bits that the filter of values doesn't use."""
+    return (values >> np.uint64(FILTER_BITS.bit_length() - 1) & np.uint64(COUNTERS - 1)).astype(np.int64)
 
 
-def _entries(threshold: float, order, wanted=None):
-    """(value, id, n) of each sketch's prefix, rarest values first; wanted: a filter of values worth a list."""
+def _entries(threshold: float, order, shared):
+    """(value, id, n) of each sketch's prefix in the common order: values of one set first, then by their counter; the former need no list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = order.value
+        counts, bitmap = order.value, shared.value
         for batch in batches:
             ids, ns, values = [], [], []
             for i, n, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _unlists(batch.column(2))):
-                first = s[np.lexsort((s, counts[(s % np.uint64(COUNTERS)).astype(np.int64)]))][: prefix_length(n, threshold)]
-                if wanted is not None and len(first):
-                    h = np.array([_long_hash(v) for v in first.tolist()], np.uint64).view(np.int64)
-                    first = first[admits(wanted.value, h)]
+                several = s[admits(bitmap, s.view(np.int64))]
+                room = prefix_length(n, threshold) - (len(s) - len(several))
+                if room <= 0 or not len(several):
+                    continue
+                first = several[np.lexsort((several, counts[_bucket(several)]))][:room]
                 values.append(first)
                 ids += [i] * len(first)
                 ns += [n] * len(first)
@@ -150,19 +148,10 @@ def _entries(threshold: float, order, wanted=None):
     return run
 
 
-def _long_hash(v: int) -> int:
-    return xxhash.xxh64_intdigest(v.to_bytes(8, "little"), 42)
-
-
-def _sets(size: int, wanted):
+def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            h = np.array([xxhash.xxh64_intdigest(i.to_bytes(8, "little", signed=True), 42) for i in ids], np.uint64).view(np.int64)
-            keep = [k for k, yes in enumerate(admits(wanted.value, h)) if yes]
-            texts = batch.column(1)
-            sets = [shingle_set(texts[k].as_py(), size) for k in keep]
-            yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in keep], pa.int64()), _lists(sets)], names=["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists([shingle_set(t, size) for t in batch.column(1).to_pylist()])], names=["id", "shingles"])
 
     return run
 
@@ -180,18 +169,19 @@ def _links(ws: Workspace, source: DataFrame, reps: DataFrame, size: int, thresho
     """Verified links (a, b) between representatives of equal sets, enough of them to connect all that are similar."""
     spark = reps.sparkSession
     percent = round(threshold * 100)
-    table = reps.select("sketch").mapInArrow(_bucket_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    several = reps.select(F.explode("sketch").alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    several = ws.write(several)
+    bucket = F.shiftrightunsigned("value", FILTER_BITS.bit_length() - 1).bitwiseAND(F.lit(COUNTERS - 1))
+    table = several.groupBy(bucket.alias("bucket")).agg(F.max("m").alias("m")).toPandas()
     counts = np.zeros(COUNTERS, np.int32)
-    counts[table["bucket"].to_numpy(np.int64)] = np.minimum(table["n"].to_numpy(np.int64), np.iinfo(np.int32).max)
-    order = spark.sparkContext.broadcast(counts)
-    lists = reps.select("id", "n", "sketch")
-    schema = "value long, id long, n long"
-    several = lists.mapInArrow(_entries(threshold, order), schema).groupBy("value").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    entries = ws.write(lists.mapInArrow(_entries(threshold, order, key_filter(several, "value")), schema))
+    counts[table["bucket"].to_numpy(np.int64)] = np.minimum(table["m"].to_numpy(np.int64), np.iinfo(np.int32).max)
+    order, shared = spark.sparkContext.broadcast(counts), key_filter(several, "value", hashed=True)
+    entries = ws.write(reps.select("id", "n", "sketch").mapInArrow(_entries(threshold, order, shared), "value long, id long, n long"))
     sizes = entries.groupBy("value").agg(F.count(F.lit(1)).alias("m"))
     entries = ws.write(entries.join(sizes.filter("m > 1"), "value").select("value", "id", "n"))
     needed = entries.select("id").distinct()
-    sets = source.mapInArrow(_sets(size, key_filter(needed, "id")), "id long, shingles array<long>")
+    texts = source.filter(admitted(key_filter(needed, "id"), F.xxhash64("id")))
+    sets = texts.mapInArrow(_sets(size), "id long, shingles array<long>")
     sets = ws.write(sets.join(needed, "id", "left_semi").dropDuplicates(["id"]))
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -250,9 +240,10 @@ def near_dedup(df: DataFrame, key: str, text: str, size: int = 5, threshold: flo
 
     1. One scan writes each document's set size, set digest and sketch (the k smallest hashes). Equal sets
        become one representative, merged by salted aggregation, so copies never meet pair by pair.
-    2. Inverted lists of retained values: all sketches are put in one order, rare values first (by a table
-       of counts of fixed size over all documents), and only a prefix is listed, which loses no pair of
-       the threshold but for the chance given by DOUBT. Lists of one member go.
+    2. Inverted lists of retained values: all sketches are put in one order, rare values first (values of
+       one set, by a bitmap, then by a table of counts; both of fixed size, from counts over all sketches),
+       and only a prefix is listed, which loses no pair of the threshold but for the chance given by
+       DOUBT. Values of one set need no list, so a document that shares little has no entries at all.
     3. Rounds: each list compares all its members with a few leaders, links join components, and lists
        within one component close. What is still apart is compared in full. Estimates from the union of
        sketches go first, then whole sets decide.
@@ -268,8 +259,11 @@ def near_dedup(df: DataFrame, key: str, text: str, size: int = 5, threshold: flo
     classes = ws.write(classes)
     spread = classes.select("digest", "cid", F.explode("salts").alias("salt"))
     members = ws.write(sketched.select("id", "n", "digest", salt).join(spread, ["digest", "salt"], "left").select("id", "n", F.coalesce("cid", "id").alias("cid")))
-    ids = classes.select(F.col("cid").alias("id"))
-    reps = ws.write(sketched.filter("n > 0").join(ids, "id", "left_semi").dropDuplicates(["id"]).select("id", "n", "sketch"))
+    # Sketches of representatives; a filter of the others' ids spares most of them the shuffle.
+    others = key_filter(members.filter("id != cid"), "id")
+    rows = sketched.filter("n > 0").select("id", "n", "sketch", admitted(others, F.xxhash64("id")).alias("doubtful"))
+    doubtful = rows.filter("doubtful").join(classes.select(F.col("cid").alias("id")).distinct(), "id", "left_semi")
+    reps = ws.write(rows.filter("not doubtful").unionByName(doubtful).drop("doubtful"))
     ws.drop(sketched)
     links = _links(ws, source, reps, size, threshold)
     roots = components(ws, links)
