@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sayplace.llm.chat_format import digests, format_turns
 from sayplace.llm.decontaminate import scan
 from sayplace.llm.exact_dedup import exact_dedup
 from sayplace.llm.near_dedup import near_dedup
@@ -13,6 +14,7 @@ from sayplace.llm.packing import pack
 from sayplace.llm.sharding import shard
 from sayplace.llm.token_count import token_counts
 from sayplace.llm.toxicity import Model, fit, scores
+from sayplace.llm.url_filter import judge
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +30,30 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_table(spark, sf_dir, "documents"), "doc_id", "text", size=4, threshold=0.8).withColumnRenamed("id", "doc_id")
 
 
+#: The rules the query is asked to apply.
+RULES = [
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
+#: Sites of these pages register names below them.
+SUFFIXES = ["com", "net", "org", "example.com", "example.net", "example.org"]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outcomes = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), (1 - F.col("quality")).alias("bad"))
+    return judge(_table(spark, sf_dir, "pages"), "page_id", "url", outcomes, RULES, SUFFIXES).withColumnRenamed("id", "page_id")
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = [(-7, t, r, "\\### Assistant: </turn> ok") for t, r in enumerate(("user", "assistant"))]
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = turns.unionByName(spark.createDataFrame(own, "conv_id long, turn long, role string, text string"))
+    return digests(format_turns(turns, "conv_id", "turn", "role", "text")).withColumnRenamed("conversation", "conv_id")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = token_counts(_table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("byte_bpe_50k.json"))
     return rows.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
@@ -65,6 +91,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_rendezvous_sharding": op1_rendezvous_sharding,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_url_filter": op3_url_filter,
+    "op4_chat_format": op4_chat_format,
     "op6_token_counts": op6_token_counts,
     "op7_nb_toxicity": op7_nb_toxicity,
     "op8_window_packing": op8_window_packing,
