@@ -31,4 +31,16 @@ ORACLES = {
                sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
         from dw left join covered using (doc_id) left join items using (doc_id)
     """,
+    "op4_chat_format": r"""
+        with c as (
+            select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+            union all select -7, t, r, '\### Assistant: </turn> ok' from (values (0, 'user'), (1, 'assistant')) as own(t, r)
+        )
+        select conv_id, count(*) as n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+               sum(case when role = 'assistant' then length(text) else 0 end)::bigint as loss_chars,
+               sha256(coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn, role, text), '')) as loss_sha256,
+               sum(4 + length(role) + 1 + length(text) + len(regexp_extract_all(text, '###|</turn>')) + 9)::bigint as formatted_chars
+        from c group by conv_id
+    """,
 }

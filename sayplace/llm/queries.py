@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sayplace.llm.chat_format import digests, format_turns
 from sayplace.llm.decontaminate import scan
 from sayplace.llm.exact_dedup import exact_dedup
+from sayplace.llm.html_extract import extract_text
 from sayplace.llm.near_dedup import near_dedup
 from sayplace.llm.packing import pack
 from sayplace.llm.sharding import shard
@@ -54,6 +55,11 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_turns(turns, "conv_id", "turn", "role", "text")).withColumnRenamed("conversation", "conv_id")
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = extract_text(_table(spark, sf_dir, "pages"), "page_id", "url", "html")
+    return rows.select(F.col("id").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = token_counts(_table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("byte_bpe_50k.json"))
     return rows.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
@@ -93,6 +99,7 @@ QUERIES = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_url_filter": op3_url_filter,
     "op4_chat_format": op4_chat_format,
+    "op5_html_extraction": op5_html_extraction,
     "op6_token_counts": op6_token_counts,
     "op7_nb_toxicity": op7_nb_toxicity,
     "op8_window_packing": op8_window_packing,
