@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from sayplace.llm.common import Workspace, bound_batches, gapless
 from sayplace.llm.token_count import local, ship
-from sayplace.llm.tokenizer import Remembered, word_pieces
+from sayplace.llm.tokenizer import Remembered, grouped, packed, word_pieces
 
 #: Rows of one length are numbered in so many buckets; full windows, which may be most rows, in more.
-BUCKETS, FULL_BUCKETS = 64, 4096
+BUCKETS, FULL_BUCKETS = 16, 4096
 
 _WORKER: dict = {}
 
@@ -81,15 +81,15 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
 def _pieces(name: str, token: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if _WORKER.get("token") != token:
-            _WORKER.update(token=token, ids=Remembered(local(name), lambda ids: struct.pack(f"<{len(ids)}I", *ids)))
+            _WORKER.update(token=token, ids=Remembered(local(name), packed))
         known: Remembered = _WORKER["ids"]
         end = struct.pack("<I", end_id)
-        for batch in batches:
-            cut = [word_pieces(t or "") for t in batch.column(1).to_pylist()]
-            packed = known.learn(set().union(*cut))
+        for ids_of, texts in grouped(batches):
+            cut = [word_pieces(t) for t in texts]
+            known_ids = known.learn(set().union(*cut))
             keys, starts, lengths, crcs, totals = [], [], [], [], []
-            for key, pieces in zip(batch.column(0).to_pylist(), cut):
-                ids = b"".join(map(packed.__getitem__, pieces)) + end
+            for key, pieces in zip(ids_of.to_pylist(), cut):
+                ids = b"".join(map(known_ids.__getitem__, pieces)) + end
                 n = len(ids) // 4
                 for start in range(0, n, capacity):
                     part = ids[4 * start : 4 * (start + capacity)]
@@ -99,7 +99,7 @@ def _pieces(name: str, token: str, capacity: int, end_id: int):
                     crcs.append(zlib.crc32(part))
                     totals.append(n)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, batch.schema.field(0).type), *(pa.array(x, pa.int64()) for x in (starts, lengths, crcs, totals))],
+                [pa.array(keys, ids_of.type), *(pa.array(x, pa.int64()) for x in (starts, lengths, crcs, totals))],
                 names=["id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return run

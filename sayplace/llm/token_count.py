@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sayplace.llm.common import bound_batches
-from sayplace.llm.tokenizer import CACHE_CHARS, Remembered, byte_level_pieces
+from sayplace.llm.tokenizer import CACHE_CHARS, Remembered, byte_level_pieces, counted, grouped
 
 #: Each task reports its commonest pieces, so many at most; the broadcast table has so many in all.
 PER_TASK, TABLE = 1024, 65536
@@ -49,15 +49,14 @@ def _count(name: str, token: str, table):
         if _WORKER.get("token") != token:
             pieces, lengths = table.value
             first = dict(zip(pieces.split("\0"), lengths)) if lengths else {}
-            _WORKER.update(token=token, lengths=Remembered(local(name), len, first))
+            _WORKER.update(token=token, lengths=Remembered(local(name), counted, first))
         known: Remembered = _WORKER["lengths"]
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+        for keys, texts in grouped(batches):
             cut = [byte_level_pieces(t, known.specials) for t in texts]
             lengths = known.learn(set().union(*cut))
             counts = [sum(map(lengths.__getitem__, c)) for c in cut]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(t) if t.isascii() else len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()), pa.array(counts, pa.int64())],
+                [keys, pa.array([len(t) if t.isascii() else len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()), pa.array(counts, pa.int64())],
                 names=["id", "n_bytes", "n_tokens"])
 
     return run
@@ -83,7 +82,7 @@ def token_counts(df: DataFrame, key: str, text: str, path: str) -> DataFrame:
     name = ship(spark, path)
     pieces = frequent(df, text)
     # Pieces have 64 characters at most, so their lengths fit in a byte each.
-    lengths = Remembered(path, len).encode(pieces) if pieces else []
+    lengths = Remembered(path, counted).encode(pieces) if pieces else []
     table = spark.sparkContext.broadcast(("\0".join(pieces), bytes(lengths)))
     return df.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(
         _count(name, uuid.uuid4().hex, table), f"id {df.schema[key].dataType.simpleString()}, n_bytes long, n_tokens long")

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
-import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
-from tokenizers import Tokenizer
+import pyarrow as pa
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 #: Pieces a worker remembers at most, in each of two generations; longer ones go to the library each time.
 CACHE_PIECES, CACHE_CHARS = 400_000, 60
@@ -35,17 +36,50 @@ def word_pieces(text: str) -> list[str]:
     return text.split()
 
 
+#: Texts are looked up together until they have so many characters.
+GROUP_CHARS = 4_000_000
+
+
+def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
+    """The batches' first columns and texts (null: empty), several batches together while they are small."""
+    keys, texts, size = [], [], 0
+    for batch in batches:
+        more = [t or "" for t in batch.column(1).to_pylist()]
+        keys.append(batch.column(0))
+        texts += more
+        size += sum(map(len, more))
+        if size >= GROUP_CHARS:
+            yield pa.concat_arrays(keys), texts
+            keys, texts, size = [], [], 0
+    if texts:
+        yield pa.concat_arrays(keys), texts
+
+
+#: Beyond these, normal form or lower case may depend on more than one character; and the dotted capital I becomes two.
+_CHANGING = re.compile("[^\x00-\u024f]|\u0130")
 #: What may follow a word in its piece and is a pre-token of its own.
 _AFTER = ".,!?;:"
 
 
+def counted(ids: list[int], cuts: list[int]) -> list[int]:
+    """The value of a piece as the number of its ids."""
+    return [b - a for a, b in zip(cuts, cuts[1:])]
+
+
+def packed(ids: list[int], cuts: list[int]) -> list[bytes]:
+    """The value of a piece as its ids, little-endian unsigned 32-bit."""
+    raw = np.array(ids, "<u4").tobytes()
+    return [raw[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:])]
+
+
 class Remembered:
-    """value(ids) of pieces, through a first table that is given and two generations of remembered pieces.
+    """Values of pieces, through a first table that is given and two generations of remembered pieces.
 
-    Values can be added up: a word with punctuation after it is the word's value and the punctuation's.
+    values(ids, cuts) gives the values of runs of ids. Values can be added up: a word with punctuation
+    after it is the word's value and the punctuation's.
     """
 
-    def __init__(self, path: str, value, first: dict | None = None):
+    def __init__(self, path: str, values, first: dict | None = None):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -55,34 +89,45 @@ class Remembered:
         self.ends = any(t.endswith("</w>") for t in vocabulary)
         self.marked = np.zeros(max(vocabulary.values()) + 1, bool)
         self.marked[[i for t, i in vocabulary.items() if (t.endswith("</w>") if self.ends else t.startswith("\u0120"))]] = True
-        self.value = value
+        self.values = values
+        # For words of letters in normal form and lower case, what cuts and changes texts has nothing to do.
+        self.plain = Tokenizer.from_file(path)
+        self.plain.no_truncation()
+        self.plain.no_padding()
+        if self.ends:
+            self.plain.normalizer = normalizers.Sequence([])
+            self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.first = first or {}
         self.young: dict = dict(self.first)
         self.old: dict = {}
 
     def encode(self, pieces: list[str]) -> list:
-        return [self.value(e.ids) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        return [self.values(e.ids, [0, len(e.ids)])[0] for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
     def encode_words(self, words: list[str]) -> list:
         """Of words of letters alone, with a space before each unless ends are marked: one text for many, cut again at the marks."""
         out = []
         for k in range(0, len(words), 2000):
             some = words[k : k + 2000]
-            ids = self.tokenizer.encode_batch_fast([(" " if self.ends else "").join(some)], add_special_tokens=False)[0].ids
-            at = np.flatnonzero(self.marked[ids])
-            if len(at) != len(some) or (at[-1] != len(ids) - 1 if self.ends else at[0] != 0):
+            text = " ".join(some).lower() if self.ends else "".join(some)
+            ids = self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids
+            at = np.flatnonzero(self.marked[ids]).tolist()
+            if len(at) == len(some) and self.ends:
+                cuts = [0, *(a + 1 for a in at)]
+            elif len(at) == len(some) and at[0] == 0:
+                cuts = [*at, len(ids)]
+            else:
                 out += self.encode(some)
                 continue
-            cuts = [0, *(at + 1).tolist()] if self.ends else [*at.tolist(), len(ids)]
-            out += [self.value(ids[a:b]) for a, b in zip(cuts, cuts[1:])]
+            out += self.values(ids, cuts)
         return out
 
     def _word(self, piece: str) -> str:
         """The piece without punctuation at its end, if letters are left; else nothing."""
         word = piece.rstrip(_AFTER)
         if self.ends:
-            # What normal form and lower case make of the word must be letters too.
-            return word if word.isascii() and word.isalpha() or unicodedata.normalize("NFC", word).lower().isalpha() else ""
+            # Letters that normal form and lower case leave as letters, one for one, wherever they stand.
+            return word if word.isalpha() and (word.isascii() or not _CHANGING.search(word)) else ""
         return word if word[:1] == " " and word[1:].isalpha() else ""
 
     def learn(self, pieces: set[str]) -> dict:
@@ -91,11 +136,10 @@ class Remembered:
             self.old, self.young = self.young, dict(self.first)
         young, old = self.young, self.old
         words, rest, joined = [], [], []
-        for p in pieces.difference(young):
-            v = old.get(p)
-            if v is not None:
-                young[p] = v
-                continue
+        new = pieces.difference(young)
+        known = new.intersection(old)
+        young.update((p, old[p]) for p in known)
+        for p in new - known:
             w = self._word(p)
             if not w:
                 rest.append(p)
