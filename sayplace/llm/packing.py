@@ -85,11 +85,10 @@ def _pieces(name: str, token: str, capacity: int, end_id: int):
         known: Remembered = _WORKER["ids"]
         end = struct.pack("<I", end_id)
         for ids_of, texts in grouped(batches):
-            cut = [word_pieces(t) for t in texts]
-            known_ids = known.learn(set().union(*cut))
+            found = known.lookup([word_pieces(t) for t in texts])
             keys, starts, lengths, crcs, totals = [], [], [], [], []
-            for key, pieces in zip(ids_of.to_pylist(), cut):
-                ids = b"".join(map(known_ids.__getitem__, pieces)) + end
+            for key, pieces in zip(ids_of.to_pylist(), found):
+                ids = b"".join(pieces) + end
                 n = len(ids) // 4
                 for start in range(0, n, capacity):
                     part = ids[4 * start : 4 * (start + capacity)]

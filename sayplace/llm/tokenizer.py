@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterator
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -130,10 +133,33 @@ class Remembered:
             return word if word.isalpha() and (word.isascii() or not _CHANGING.search(word)) else ""
         return word if word[:1] == " " and word[1:].isalpha() else ""
 
-    def learn(self, pieces: set[str]) -> dict:
-        """Values of all these pieces, and of others."""
+    def lookup(self, cut: list[list[str]]) -> list[list]:
+        """The values of each text's pieces. What is remembered is looked up once; the rest of all texts is learned together."""
+        # Lists of values make no cycles, and looking for cycles in them takes a sixth of the time.
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            return self._lookup(cut)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _lookup(self, cut: list[list[str]]) -> list[list]:
         if len(self.young) > CACHE_PIECES + len(self.first):
             self.old, self.young = self.young, dict(self.first)
+        get = self.young.get
+        # No value is empty or 0: a piece has a token at least, so what is false isn't remembered.
+        values = [list(map(get, pieces)) for pieces in cut]
+        unknown = [list(compress(pieces, map(not_, v))) for pieces, v in zip(cut, values)]
+        found = self.learn(set().union(*unknown))
+        for v, pieces in zip(values, unknown):
+            if pieces:
+                rest = map(found.__getitem__, pieces)
+                v[:] = [x or next(rest) for x in v]
+        return values
+
+    def learn(self, pieces: set[str]) -> dict:
+        """Values of all these pieces, and of others."""
         young, old = self.young, self.old
         words, rest, joined = [], [], []
         new = pieces.difference(young)
@@ -156,7 +182,7 @@ class Remembered:
         long = [p for p in (*rest, *words) if len(p) > CACHE_CHARS]
         if not long:
             return young
-        out = young.copy() if len(young) < 1000 else dict(((p, young[p]) for p in pieces))
+        out = {p: young[p] for p in pieces}
         for p in long:
             del young[p]
         for p, w, after in joined:
