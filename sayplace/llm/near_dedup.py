@@ -21,8 +21,8 @@ SKETCH, DOUBT = 128, 5.5
 #: Counters for the common order of values; a fixed number, so the broadcast has a fixed size (1 MB).
 #: Any order that all sets share gives right results; a true one gives fewer candidates.
 COUNTERS = 1 << 18
-#: Leaders each list compares all its members with, in each of so many rounds; what is left is compared in full.
-LEADERS, ROUNDS = 4, 2
+#: Leaders each list compares all its members with; and shingles of the sets that one task compares at a time.
+LEADERS, BLOCK = 4, 1_000_000
 SALTS = 16
 NULL_ID = -(1 << 63)
 
@@ -64,14 +64,23 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
-def shared_at_least(threshold: float, k: int = SKETCH) -> int:
-    """So many of the union's k smallest values lie in both sets, but for the chance that DOUBT allows."""
-    return max(1, math.floor(threshold * k - DOUBT * math.sqrt(k * threshold * (1 - threshold))))
+def shared_at_least(n: int, m: int, threshold: float, k: int = SKETCH) -> int:
+    """So many values are in the sketches of two sets of these sizes that have the threshold, but for the chance that DOUBT allows.
+
+    Their union has (n + m) / (1 + threshold) elements. Its k smallest are drawn without putting back, and
+    those that are common lie in both sketches; a union of no more than k is drawn whole.
+    """
+    union = (n + m) / (1 + threshold)
+    if union <= k:
+        return math.ceil(threshold * union - 1e-9)
+    spread = math.sqrt(threshold * (1 - threshold) * k * (union - k) / (union - 1))
+    return max(1, math.floor(threshold * k - DOUBT * spread))
 
 
 def prefix_length(n: int, threshold: float, k: int = SKETCH) -> int:
     """Of a sketch in any order that all sets share, the first so many hold a value of every similar set's first ones."""
-    return n - math.ceil(threshold * n - 1e-9) + 1 if n <= k else k - shared_at_least(threshold, k) + 1
+    least = min(shared_at_least(n, math.ceil(threshold * n - 1e-9), threshold, k), shared_at_least(n, math.floor(n / threshold + 1e-9), threshold, k))
+    return min(n, k) - least + 1
 
 
 def union_estimate(a: np.ndarray, b: np.ndarray, k: int = SKETCH) -> float:
@@ -89,7 +98,7 @@ def similar(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
     percent = round(threshold * 100)
     if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
         return False
-    if union_estimate(a, b) < (threshold if max(len(a), len(b)) <= SKETCH else shared_at_least(threshold) / SKETCH) - 1e-9:
+    if union_estimate(a, b) < shared_at_least(len(a), len(b), threshold) / min(SKETCH, (len(a) + len(b)) / (1 + threshold)) - 1e-9:
         return False
     inter = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * inter >= percent * (len(a) + len(b) - inter)
@@ -127,12 +136,15 @@ def _bucket(values: np.ndarray) -> np.ndarray:
 
 
 def _entries(threshold: float, order, shared):
-    """(value, id, n) of each sketch's prefix in the common order: values of one set first, then by their counter; the former need no list."""
+    """(value, id, n, own) of each sketch's prefix in the common order: values of one set first, then by their counter; the former need no list.
+
+    own: the share of values that no other set has, small for sets in the middle of their like.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, bitmap = order.value, shared.value
         for batch in batches:
-            ids, ns, values = [], [], []
+            ids, ns, owns, values = [], [], [], []
             for i, n, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _unlists(batch.column(2))):
                 several = s[admits(bitmap, s.view(np.int64))]
                 room = prefix_length(n, threshold) - (len(s) - len(several))
@@ -142,8 +154,9 @@ def _entries(threshold: float, order, shared):
                 values.append(first)
                 ids += [i] * len(first)
                 ns += [n] * len(first)
+                owns += [(len(s) - len(several)) / len(s)] * len(first)
             flat = np.concatenate(values).view(np.int64) if values else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(ids, pa.int64()), pa.array(ns, pa.int64())], names=["value", "id", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(owns, pa.float64())], names=["value", "id", "n", "own"])
 
     return run
 
@@ -165,6 +178,69 @@ def _verified(threshold: float):
     return run
 
 
+def _compared(threshold: float):
+    """Links between a block's queries and its other sets, by an inverted index of the queries' values."""
+    percent = round(threshold * 100)
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        ids, roots = table["id"].to_numpy(), table["root"].to_numpy()
+        asks = table["query"].to_numpy(zero_copy_only=False)
+        column = table["shingles"].chunk(0) if table["shingles"].num_chunks else pa.array([], _LONGS)
+        sets = _unlists(column)
+        queries = np.flatnonzero(asks)
+        sizes = np.array([len(sets[q]) for q in queries], np.int64)
+        values = np.concatenate([sets[q] for q in queries])
+        owner = np.repeat(np.arange(len(queries)), sizes)
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], owner[order]
+        a, b = [], []
+        for k in np.flatnonzero(~asks):
+            mine = sets[k]
+            low, high = np.searchsorted(values, mine, "left"), np.searchsorted(values, mine, "right")
+            met = high > low
+            if not met.any():
+                continue
+            low, runs = low[met], (high - low)[met]
+            at = np.repeat(low - np.concatenate(([0], np.cumsum(runs)[:-1])), runs) + np.arange(runs.sum())
+            inter = np.bincount(owner[at], minlength=len(queries))
+            like = (100 * inter >= percent * (sizes + len(mine) - inter)) & (roots[queries] != roots[k])
+            for q in queries[like]:
+                a.append(min(ids[q], ids[k]))
+                b.append(max(ids[q], ids[k]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _rest(ws: Workspace, placed: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links that the leaders left, exactly: members outside their list's largest part against all members of their lists.
+
+    The outsiders are dealt into blocks of so many shingles, those of a list together, since what they
+    are to be compared with is much the same. A block meets each set once, however many lists they
+    share, in parts of bounded size. No pair of sets is made into a row unless it is a link.
+    """
+    by_root = placed.groupBy("value", "root").agg(F.count(F.lit(1)).alias("m"))
+    lists = by_root.groupBy("value").agg(F.max(F.struct("m", "root")).alias("w"), F.sum("m").alias("m"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    part = ws.write(placed.join(lists.select("value", F.col("w.root").alias("main"), "m"), "value").select("value", "id", "n", "root", "main", "m"))
+    outside = part.filter("root != main")
+    homes = outside.groupBy("id").agg(F.max(F.struct("m", "value"))["value"].alias("home"), F.max("n").alias("n"), F.max("root").alias("root"))
+    weight = homes.groupBy("home").agg(F.sum("n").alias("hn"))
+    total = weight.filter(F.col("hn") <= BLOCK).agg(F.sum("hn")).first()[0] or 0
+    small = F.pmod(F.xxhash64("home"), F.lit(max(1, -(-total // BLOCK))))
+    large = F.pmod(F.xxhash64("id"), F.ceil(F.col("hn") / BLOCK))
+    block = F.when(F.col("hn") > BLOCK, F.xxhash64("home", large)).otherwise(F.xxhash64(F.lit(-1), small))
+    blocks = ws.write(homes.join(weight, "home").select("id", "n", "root", block.alias("block")))
+    wanted = outside.select("id", "value").join(blocks.select("id", "block"), "id").select("block", "value").distinct()
+    met = ws.write(wanted.join(part.select("value", "id", "n", "root"), "value").groupBy("block", "id").agg(F.max("n").alias("n"), F.max("root").alias("root")))
+    split = met.groupBy("block").agg(F.ceil(F.sum("n") / (4 * BLOCK)).alias("splits"))
+    split = ws.write(split)
+    asked = met.join(split, "block").select("block", F.pmod(F.xxhash64("id"), F.col("splits")).alias("split"), "id", "root", F.lit(False).alias("query"))
+    asking = blocks.join(split, "block").select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("splits") - 1)).alias("split"), "id", "root", F.lit(True).alias("query"))
+    rows = asked.unionByName(asking).join(sets, "id")
+    return ws.write(rows.groupBy("block", "split").applyInArrow(_compared(threshold), "a long, b long").distinct())
+
+
 def _links(ws: Workspace, source: DataFrame, reps: DataFrame, size: int, threshold: float) -> DataFrame:
     """Verified links (a, b) between representatives of equal sets, enough of them to connect all that are similar."""
     spark = reps.sparkSession
@@ -176,9 +252,9 @@ def _links(ws: Workspace, source: DataFrame, reps: DataFrame, size: int, thresho
     counts = np.zeros(COUNTERS, np.int32)
     counts[table["bucket"].to_numpy(np.int64)] = np.minimum(table["m"].to_numpy(np.int64), np.iinfo(np.int32).max)
     order, shared = spark.sparkContext.broadcast(counts), key_filter(several, "value", hashed=True)
-    entries = ws.write(reps.select("id", "n", "sketch").mapInArrow(_entries(threshold, order, shared), "value long, id long, n long"))
+    entries = ws.write(reps.select("id", "n", "sketch").mapInArrow(_entries(threshold, order, shared), "value long, id long, n long, own double"))
     sizes = entries.groupBy("value").agg(F.count(F.lit(1)).alias("m"))
-    entries = ws.write(entries.join(sizes.filter("m > 1"), "value").select("value", "id", "n"))
+    entries = ws.write(entries.join(sizes.filter("m > 1"), "value").select("value", "id", "n", "own"))
     needed = entries.select("id").distinct()
     texts = source.filter(admitted(key_filter(needed, "id"), F.xxhash64("id")))
     sets = texts.mapInArrow(_sets(size), "id long, shingles array<long>")
@@ -189,43 +265,17 @@ def _links(ws: Workspace, source: DataFrame, reps: DataFrame, size: int, thresho
             sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
         return rows.select("a", "b", "sa", "sb").mapInArrow(_verified(threshold), "a long, b long")
 
-    like = f"100 * least(n, m) >= {percent} * greatest(n, m)"
-    links = spark.createDataFrame([], "a long, b long")
-    tested = None
-    for r in range(ROUNDS + 1):
-        if r:
-            roots = components(ws, links)
-            placed = entries.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        else:
-            placed = entries.withColumn("root", F.col("id"))
-        placed = ws.write(placed)
-        lead = [F.min(F.struct(F.xxhash64("id", F.lit(r * LEADERS + j)).alias("h"), "id", "root", "n")).alias(f"l{j}") for j in range(LEADERS)]
-        open_ = placed.groupBy("value").agg(*lead, F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi")
-        if r < ROUNDS:
-            open_ = open_.select("value", F.explode(F.array_distinct(F.array(*[f"l{j}" for j in range(LEADERS)]))).alias("l")).select(
-                "value", F.col("l.id").alias("leader"), F.col("l.root").alias("leader_root"), F.col("l.n").alias("m"))
-            met = placed.join(open_, "value").filter("root != leader_root").filter(like)
-            pairs = met.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-            if tested is not None:
-                pairs = pairs.join(tested, ["a", "b"], "left_anti")
-            pairs = ws.write(pairs)
-            tested = pairs if tested is None else tested.unionByName(pairs)
-        else:
-            # What is still apart, in full: members outside their list's largest part against all of it, each pair in the first list it shares.
-            part = placed.join(open_.select("value"), "value", "left_semi")
-            main = part.groupBy("value", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("value").agg(F.max(F.struct("m", "root")).alias("w"))
-            part = part.join(main.select("value", F.col("w.root").alias("main")), "value")
-            of = part.groupBy("id").agg(F.collect_set("value").alias("all_values"))
-            part = part.join(of, "id")
-            x = part.filter("root != main").select("value", F.col("id").alias("a"), F.col("root").alias("ra"), F.col("n"), F.col("all_values").alias("va"))
-            y = part.select("value", F.col("id").alias("b"), F.col("root").alias("rb"), F.col("n").alias("m"), F.col("all_values").alias("vb"), F.col("main"))
-            once = F.expr("array_min(array_intersect(va, vb))") == x["value"]
-            met = x.join(y, (x["value"] == y["value"]) & F.expr("ra != rb and (rb = main or a < b)") & F.expr(like) & once)
-            pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            pairs = ws.write(pairs.join(tested, ["a", "b"], "left_anti"))
-        found = ws.write(verify(pairs))
-        links = found if r == 0 else links.unionByName(found)
-    return links
+    # Leaders: the sets in the middle of their like, which most others are similar to.
+    few = F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt")
+    tops = entries.groupBy("value", few).agg(F.min(F.struct("own", "id", "n")).alias("l")).groupBy("value").agg(
+        F.slice(F.sort_array(F.collect_list("l")), 1, LEADERS).alias("leaders"))
+    leaders = tops.select("value", F.explode("leaders").alias("l")).select("value", F.col("l.id").alias("leader"), F.col("l.n").alias("m"))
+    met = entries.join(leaders, "value").filter("id != leader").filter(f"100 * least(n, m) >= {percent} * greatest(n, m)")
+    pairs = ws.write(met.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct())
+    found = ws.write(verify(pairs))
+    roots = components(ws, found)
+    placed = ws.write(entries.join(roots.withColumnRenamed("node", "id"), "id", "left").select("value", "id", "n", F.coalesce("root", "id").alias("root")))
+    return found.unionByName(_rest(ws, placed, sets, threshold))
 
 
 def near_dedup(df: DataFrame, key: str, text: str, size: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -244,9 +294,10 @@ def near_dedup(df: DataFrame, key: str, text: str, size: int = 5, threshold: flo
        one set, by a bitmap, then by a table of counts; both of fixed size, from counts over all sketches),
        and only a prefix is listed, which loses no pair of the threshold but for the chance given by
        DOUBT. Values of one set need no list, so a document that shares little has no entries at all.
-    3. Rounds: each list compares all its members with a few leaders, links join components, and lists
-       within one component close. What is still apart is compared in full. Estimates from the union of
-       sketches go first, then whole sets decide.
+    3. Each list compares its members with a few leaders, estimates from the union of sketches first, then
+       whole sets; links join components. Members that are still outside their list's largest component
+       are compared with all of the list, in blocks, by whole sets. So a group of near copies costs a few
+       comparisons a member, and nothing is capped.
     """
     spark = df.sparkSession
     bound_batches(spark)
