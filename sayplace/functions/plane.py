@@ -48,7 +48,7 @@ def great_circle(lat_a: Column, lng_a: Column, lat_b: Column, lng_b: Column) ->
     """Metres along the sphere, by haversines."""
     rise, turn = F.radians(lat_b - lat_a), F.radians(lng_b - lng_a)
     h = F.pow(F.sin(rise / 2), 2) + F.cos(F.radians(lat_a)) * F.cos(F.radians(lat_b)) * F.pow(F.sin(turn / 2), 2)
-    return 2 * RADIUS * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    return 2 * RADIUS * F.asin(F.sqrt(F.when(h > 1, 1.0).otherwise(h)))
 
 
 def wrapped(lng: Column) -> Column:

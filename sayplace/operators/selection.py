@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sayplace.operators.phonetics import sound_pairs
@@ -17,18 +17,23 @@ KINDS = ["shared piece", "shared root", "contained", "sound", "spelling"]
 PREFIX = 3
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Cut lineage by a table in the shared folder."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new place in the folder all executors share (spark.checkpoint.dir), gone when the session's JVM ends; a temporary one only where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         base = tempfile.mkdtemp(prefix="sayplace-")
         spark.sparkContext.setCheckpointDir(base)
-    path = f"{base}/selection-{uuid.uuid4().hex}"
+    path = f"{base}/{name}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Cut lineage by a table in the shared folder."""
+    path = shared_path(df.sparkSession, f"selection-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def band(rank: Column, base: float = 4.0) -> Column:
@@ -38,8 +43,6 @@ def band(rank: Column, base: float = 4.0) -> Column:
 
 def ordered(pool: DataFrame) -> DataFrame:
     """pool, rows (word, rank, isolation, position), without homophones and with `order`: by band, the most isolated first, then rank."""
-    from pyspark.sql import Window
-
     kept = pool.filter("isolation > 0")
     return kept.withColumn("order", F.row_number().over(Window.orderBy(band(F.col("rank")), F.desc("isolation"), "rank", "position")))
 

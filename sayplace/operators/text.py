@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The words of numbers.
@@ -23,39 +23,46 @@ def parse_words(text: Column) -> Column:
 
 
 def _value(word: Column, table: dict[str, int]) -> Column:
-    out = F.lit(None).cast("int")
-    for k, v in table.items():
-        out = F.when(word == k, F.lit(v)).otherwise(out)
-    return out
+    """From a literal map, folded once; a chain of conditions would make the generated code too long."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), word)
 
 
-def spoken_number(tokens: Column) -> Column:
-    """A number from 00 to 99 of an array of tokens, null if they aren't one: '42', '4 2', 'forty two', 'four two', 'oh seven'."""
-    joined = F.array_join(tokens, "")
-    written = F.forall(tokens, lambda t: t.rlike("^[0-9]+$"))
-    a, b = F.get(tokens, F.lit(0)), F.get(tokens, F.lit(1))
-    one = F.coalesce(*(_value(a, t) for t in (UNITS, TEENS, TENS)))
-    unit_a, unit_b, ten = _value(a, UNITS), _value(b, UNITS), _value(a, TENS)
-    two = F.when(ten.isNotNull() & (unit_b > 0), ten + unit_b).when(unit_a.isNotNull() & unit_b.isNotNull(), unit_a * 10 + unit_b)
-    return (
-        F.when(F.size(tokens) == 0, F.lit(None).cast("int")).when(written, F.when(F.length(joined) <= 2, joined.try_cast("int")))
-        .when(F.size(tokens) == 1, one).when(F.size(tokens) == 2, two))
+def with_spoken_number(df: DataFrame, tokens: str, out: str) -> DataFrame:
+    """out: a number from 00 to 99 that an array of tokens says, null if they don't: '42', '4 2', 'forty two', 'four two', 'oh seven'.
+
+    Each step is a projection of its own, so that what is used often is worked out once.
+    """
+    t = F.col(tokens)
+    df = df.withColumns({
+        "_joined": F.array_join(t, ""), "_written": F.forall(t, lambda x: x.rlike("^[0-9]+$")), "_a": F.get(t, F.lit(0)), "_b": F.get(t, F.lit(1))})
+    df = df.withColumns({
+        "_unit_a": _value(F.col("_a"), UNITS), "_unit_b": _value(F.col("_b"), UNITS), "_teen": _value(F.col("_a"), TEENS), "_ten": _value(F.col("_a"), TENS)})
+    one = F.coalesce("_unit_a", "_teen", "_ten")
+    two = F.when(F.col("_ten").isNotNull() & (F.col("_unit_b") > 0), F.col("_ten") + F.col("_unit_b")).otherwise(F.col("_unit_a") * 10 + F.col("_unit_b"))
+    number = (
+        F.when(F.size(t) == 0, F.lit(None).cast("int")).when(F.col("_written"), F.when(F.length("_joined") <= 2, F.col("_joined").try_cast("int")))
+        .when(F.size(t) == 1, one).when(F.size(t) == 2, two))
+    return df.withColumn(out, number).drop("_joined", "_written", "_a", "_b", "_unit_a", "_unit_b", "_teen", "_ten")
 
 
-def parse_full(text: Column) -> Column:
-    """A struct (words, number, status): words, and the number that the longest run of number words and digits at the end says.
+def parse_full(df: DataFrame, said: str, words: str = "words", number: str = "number", status: str = "status") -> DataFrame:
+    """words, and the number that the longest run of number words and digits at the end says, with a status.
 
-    status: ok, empty (no tokens), no_words (only a number) or bad_number (a run that isn't 00 to 99).
+    status: ok, empty (no tokens), no_words (only a number) or bad_number (a run that isn't 00 to 99); null
+    text has a null status. Words and number are null where it isn't ok.
     """
-    tokens = F.filter(F.split(F.lower(stripped(text)), r"(?U)[\s.,;:/-]+"), lambda t: t != "")
     known = [*UNITS, *TEENS, *TENS]
-    number_like = lambda t: t.isin(*known) | t.rlike("^[0-9]+$")
+    df = df.withColumn("_tokens", F.filter(F.split(F.lower(stripped(F.col(said))), r"(?U)[\s.,;:/-]+"), lambda t: t != ""))
     # The last token that isn't a number's ends the words.
-    marks = F.transform(tokens, lambda t, k: F.when(~number_like(t), k + 1).otherwise(F.lit(0)))
-    end = F.coalesce(F.array_max(marks), F.lit(0))
-    words, run = F.slice(tokens, F.lit(1), end), F.slice(tokens, end + 1, F.greatest(F.size(tokens) - end, F.lit(0)))
-    number = spoken_number(run)
-    status = (
-        F.when(F.size(tokens) == 0, "empty").when(end == 0, "no_words").when((F.size(run) > 0) & number.isNull(), "bad_number").otherwise("ok"))
-    good = status == "ok"
-    return F.when(text.isNotNull(), F.struct(F.when(good, words).alias("words"), F.when(good, number).alias("number"), status.alias("status")))
+    marks = F.transform("_tokens", lambda t, k: F.when(t.isin(*known) | t.rlike("^[0-9]+$"), F.lit(0)).otherwise(k + 1))
+    df = df.withColumn("_end", F.coalesce(F.array_max(marks), F.lit(0)))
+    df = df.withColumn("_run", F.slice("_tokens", F.col("_end") + 1, F.greatest(F.size("_tokens") - F.col("_end"), F.lit(0))))
+    df = with_spoken_number(df, "_run", "_number")
+    why = (
+        F.when(F.col(said).isNull(), F.lit(None).cast("string")).when(F.size("_tokens") == 0, "empty").when(F.col("_end") == 0, "no_words")
+        .when((F.size("_run") > 0) & F.col("_number").isNull(), "bad_number").otherwise("ok"))
+    df = df.withColumn("_why", why)
+    good = F.col("_why") == "ok"
+    df = df.withColumns({"_words": F.when(good, F.slice("_tokens", F.lit(1), F.col("_end"))), "_number": F.when(good, F.col("_number"))})
+    kept = [c for c in df.columns if not c.startswith("_") and c not in (words, number, status)]
+    return df.select(*kept, F.col("_words").alias(words), F.col("_number").alias(number), F.col("_why").alias(status))
