@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -105,16 +104,6 @@ def admits(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
 
 
-def admitted(bitmap, hashes: Column) -> Column:
-    """Whether the broadcast bitmap admits a key, given its xxhash64; only the hashes go to Python."""
-
-    @F.pandas_udf("boolean")
-    def test(h: pd.Series) -> pd.Series:
-        return pd.Series(admits(bitmap.value, h.to_numpy()))
-
-    return test(hashes)
-
-
 def components(ws: Workspace, edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b), a != b: rows (node, root), root the smallest id reachable.
 

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sayplace.llm.common import FILTER_BITS, Workspace, admits, admitted, bound_batches, components, key_filter
+from sayplace.llm.common import FILTER_BITS, Workspace, admits, bound_batches, components, key_filter
 
 #: Values a sketch retains, and standard deviations of doubt that estimates allow for: a pair at the
 #: threshold is missed with a chance of about one in ten million. Sets of no more values are kept whole,
@@ -22,7 +22,7 @@ SKETCH, DOUBT = 128, 5.5
 #: Any order that all sets share gives right results; a true one gives fewer candidates.
 COUNTERS = 1 << 18
 #: Leaders each list compares all its members with; and shingles of the sets that one task compares at a time.
-LEADERS, BLOCK = 4, 1_000_000
+LEADERS, BLOCK = 4, 500_000
 SALTS = 16
 NULL_ID = -(1 << 63)
 
@@ -45,7 +45,7 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    if len(_HASHES) > 400_000:
+    if len(_HASHES) > 150_000:
         _HASHES.clear()
     h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
     width = min(size, len(h))
@@ -161,14 +161,27 @@ def _entries(threshold: float, order, shared):
     return run
 
 
-def _sets(size: int):
+def _sets(size: int, wanted):
+    """Whole sets of the documents that the filter admits."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(admits(wanted.value, batch.column(2).to_numpy())))
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists([shingle_set(t, size) for t in batch.column(1).to_pylist()])], names=["id", "shingles"])
 
     return run
 
 
+def _doubted(others):
+    """Whether the filter of those that aren't representatives admits a row. In one worker a task: each takes memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(admits(others.value, batch.column(3).to_numpy()))], names=["id", "n", "sketch", "doubtful"])
+
+    return run
+
+
 def _verified(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,8 +269,7 @@ def _links(ws: Workspace, source: DataFrame, reps: DataFrame, size: int, thresho
     sizes = entries.groupBy("value").agg(F.count(F.lit(1)).alias("m"))
     entries = ws.write(entries.join(sizes.filter("m > 1"), "value").select("value", "id", "n", "own"))
     needed = entries.select("id").distinct()
-    texts = source.filter(admitted(key_filter(needed, "id"), F.xxhash64("id")))
-    sets = texts.mapInArrow(_sets(size), "id long, shingles array<long>")
+    sets = source.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(_sets(size, key_filter(needed, "id")), "id long, shingles array<long>")
     sets = ws.write(sets.join(needed, "id", "left_semi").dropDuplicates(["id"]))
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -312,7 +324,7 @@ def near_dedup(df: DataFrame, key: str, text: str, size: int = 5, threshold: flo
     members = ws.write(sketched.select("id", "n", "digest", salt).join(spread, ["digest", "salt"], "left").select("id", "n", F.coalesce("cid", "id").alias("cid")))
     # Sketches of representatives; a filter of the others' ids spares most of them the shuffle.
     others = key_filter(members.filter("id != cid"), "id")
-    rows = sketched.filter("n > 0").select("id", "n", "sketch", admitted(others, F.xxhash64("id")).alias("doubtful"))
+    rows = sketched.filter("n > 0").select("id", "n", "sketch", F.xxhash64("id").alias("h")).mapInArrow(_doubted(others), "id long, n long, sketch array<long>, doubtful boolean")
     doubtful = rows.filter("doubtful").join(classes.select(F.col("cid").alias("id")).distinct(), "id", "left_semi")
     reps = ws.write(rows.filter("not doubtful").unionByName(doubtful).drop("doubtful"))
     ws.drop(sketched)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 #: Pieces a worker remembers at most, in each of two generations; longer ones go to the library each time.
-CACHE_PIECES, CACHE_CHARS = 400_000, 60
+CACHE_PIECES, CACHE_CHARS = 600_000, 60
 
 #: Python counts these as white space and the library doesn't: such texts go to the library whole.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
