@@ -14,7 +14,7 @@ from sayplace.llm.common import bound_batches
 
 ORDERS = (4, 5, 6)
 #: n-grams are hashed to so many places, and so many of them become features.
-PLACES, FEATURES = 1 << 22, 8192
+PLACES, FEATURES = 1 << 22, 4096
 #: Labelled rows the model is fitted on at most, the first ones by a hash of their id; and n-grams counted in fewer are no features.
 MAX_ROWS, LEAST_ROWS = 20_000, 3
 
@@ -79,8 +79,8 @@ def _vectors(places):
             found = []
             for text in batch.column(0).to_pylist():
                 f = np.unique(table[ngram_places(text)])
-                found.append((f[f > 0].astype(np.int32) - 1).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["y", "features"])
+                found.append((f[f > 0] - 1).astype("<u2").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.binary())], names=["y", "features"])
 
     return run
 
@@ -91,16 +91,17 @@ def regression(rows: list[np.ndarray], y: np.ndarray, ratios: np.ndarray, penalt
     Each weight has its own step, so that rare features learn too.
     """
     n = len(rows)
-    indices = np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64)
-    owner = np.repeat(np.arange(n), [len(r) for r in rows])
-    values = ratios[indices]
+    # Narrow types: the driver holds one entry for each feature of each row of the sample.
+    indices = np.concatenate([*rows, np.empty(0, np.int32)]).astype(np.int32)
+    owner = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
+    values = ratios.astype(np.float32)[indices]
     theta = np.zeros(len(ratios) + 1)
     theta[-1] = np.log(y.mean() / (1 - y.mean()))
     mean, square = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, steps + 1):
-        z = np.bincount(owner, values * theta[indices], n) + theta[-1]
+        z = np.bincount(owner, values * theta.astype(np.float32)[indices], n) + theta[-1]
         g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
-        grad = np.append(np.bincount(indices, values * g[owner], len(ratios)) + penalty * theta[:-1], g.sum())
+        grad = np.append(np.bincount(indices, values * g.astype(np.float32)[owner], len(ratios)) + penalty * theta[:-1], g.sum())
         mean = 0.9 * mean + 0.1 * grad
         square = 0.999 * square + 0.001 * grad * grad
         theta -= rate * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.999**t)) + 1e-8)
@@ -132,9 +133,10 @@ def fit(labelled: DataFrame, key: str, text: str, label: str, max_rows: int = MA
     best = counts.filter(f"place >= 0 and pos + neg >= {LEAST_ROWS}").select("place", ratio.alias("r"), worth.alias("worth")).filter("r > 0").orderBy(F.desc("worth"), "place").limit(FEATURES).toPandas()
     best = best.sort_values("place")
     places, ratios = best["place"].to_numpy(np.int64), best["r"].to_numpy(float)
-    vectors = sample.mapInArrow(_vectors(spark.sparkContext.broadcast(places)), "y int, features array<int>").toPandas()
+    vectors = sample.mapInArrow(_vectors(spark.sparkContext.broadcast(places)), "y int, features binary").toPandas()
     y = vectors["y"].to_numpy(float)
-    found = [np.asarray(v, np.int64) for v in vectors["features"]]
+    found = [np.frombuffer(v, "<u2") for v in vectors["features"]]
+    del vectors
     w, b = regression(found, y, ratios)
     v = w * ratios
     return Model(places, v, b)
