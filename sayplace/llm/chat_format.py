@@ -17,7 +17,6 @@ from sayplace.llm.common import bound_batches
 OPEN, CLOSE = "### ", "</turn>"
 _MARK = re.compile(r"\\*(?:###|</turn>)")
 _ESCAPED = re.compile(r"\\+(?:###|</turn>)")
-_TURN = re.compile(r"### ([^\n]*)\n(.*?)\n</turn>\n", re.DOTALL)
 
 
 def escape(text: str) -> str:
@@ -60,7 +59,7 @@ def parse(formatted: str) -> list[tuple[str, str, int, int]] | None:
         if end <= begin or formatted[end - 1] != "\n" or not formatted.startswith("\n", end + len(CLOSE)):
             return None
         written = formatted[begin : end - 1]
-        if re.search(r"(?<!\\)###", written):
+        if any(m[0][0] != "\\" for m in _MARK.finditer(written)):
             return None
         out.append((_unrole(formatted[at + len(OPEN) : line]), unescape(written), begin, end - 1))
         at = end + len(CLOSE) + 1
@@ -73,15 +72,12 @@ def render(role: str, text: str) -> tuple[str, int, int]:
     The text goes in as it is; where the parser doesn't give back the same turn, it is escaped and parsed
     again until it does, which one escape brings about for any text.
     """
-    head, written = f"{OPEN}{_role(role)}\n", text
-    while True:
+    head = f"{OPEN}{_role(role)}\n"
+    for written in (text, escape(text)):
         formatted = f"{head}{written}\n{CLOSE}\n"
         if parse(formatted) == [(role, text, len(head), len(head) + len(written))]:
             return formatted, len(head), len(head) + len(written)
-        escaped = escape(written)
-        if escaped == written:
-            raise ValueError("a turn that can't be written")
-        written = escaped
+    raise ValueError("a turn that can't be written")
 
 
 _FORMATTED = pa.struct([("formatted", pa.string()), ("begin", pa.int64()), ("end", pa.int64())])
