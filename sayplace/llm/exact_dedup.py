@@ -102,7 +102,7 @@ def exact_dedup(df: DataFrame, key: str, text: str, salts: int = SALTS, digest_b
         apart = winners.join(clashing, "digest", "left_semi").select("digest", "content", "keep_id", "group_size")
         whole = salted.mapInArrow(_whole(digest_bytes), "id long, digest binary, sha string, content binary")
         exact = whole.join(clashing, "digest", "left_semi").join(apart, ["digest", "content"]).select("id", "sha", "keep_id", "group_size")
-        rows = rows.filter("variants is null or variants = 1").select("id", "sha", "keep_id", "group_size").unionByName(exact)
+        rows = rows.join(clashing, "digest", "left_anti").select("id", "sha", "keep_id", "group_size").unionByName(exact)
     keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
     return rows.select(
         "id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
