@@ -45,7 +45,7 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    if len(_HASHES) > 150_000:
+    if len(_HASHES) > 50_000:
         _HASHES.clear()
     h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
     width = min(size, len(h))
