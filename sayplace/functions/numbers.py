@@ -50,3 +50,8 @@ def horner(parts: Sequence[Column], radices: Sequence[int]) -> Column:
     for part, radix in zip(parts[1:], radices[1:]):
         out = out * radix + part
     return out
+
+
+def settled(value: Column) -> Column:
+    """The value, marked so that no filter on it is pushed below its projection, where it would stand as one long nested expression."""
+    return F.when(F.spark_partition_id() >= 0, value)

@@ -8,12 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sayplace.functions.numbers import div, hex_of, sha_mod
-
-
-def _settled(value: Column) -> Column:
-    """The value, marked so that no filter on it is pushed below: there it would stand as one nested expression of all rounds."""
-    return F.when(F.spark_partition_id() >= 0, value)
+from sayplace.functions.numbers import div, hex_of, settled, sha_mod
 
 
 @dataclass(frozen=True)
@@ -57,7 +52,7 @@ class Feistel:
         for i in range(self.rounds):
             m = self._moduli(i)
             df = df.withColumns({a: F.col(b), b: (F.col(a) + self._mix(i, F.col(b), m)) % m})
-        return df.withColumn(out, _settled(F.col(a) * self.right + F.col(b))).drop(a, b)
+        return df.withColumn(out, settled(F.col(a) * self.right + F.col(b))).drop(a, b)
 
     def back(self, df: DataFrame, value: str, out: str) -> DataFrame:
         """The inverse of forward."""
@@ -66,4 +61,4 @@ class Feistel:
         for i in reversed(range(self.rounds)):
             m = self._moduli(i)
             df = df.withColumns({a: F.pmod(F.col(b) - self._mix(i, F.col(a), m), F.lit(m)), b: F.col(a)})
-        return df.withColumn(out, _settled(F.col(a) * self.right + F.col(b))).drop(a, b)
+        return df.withColumn(out, settled(F.col(a) * self.right + F.col(b))).drop(a, b)

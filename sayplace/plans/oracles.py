@@ -7,7 +7,8 @@ from sayplace.operators.feistel import Feistel
 from sayplace.operators.mask import ELLIPSES, HEIGHT, SIDE, SOUTH, WEST, WIDTH
 from sayplace.operators.spelling import LEAST, STRONG, SUFFIXES, PREFIXES, VARIANTS, WEAK
 from sayplace.operators.vocabulary import CONSONANTS, KINDS, VOWELS
-from sayplace.plans.queries import LETTERS, phrase, plane, world
+from sayplace.operators.text import TEENS, TENS, UNITS
+from sayplace.plans.queries import LETTERS, RING, phrase, plane, world
 
 _SYLLABLES = f"syllables as (select c || v as s from unnest(string_split('{' '.join(CONSONANTS)}', ' ')) a(c), unnest(string_split('{' '.join(VOWELS)}', ' ')) b(v))"
 
@@ -72,10 +73,12 @@ def _cells(k: int, source: str = "points", name: str = "placed") -> str:
     )"""
 
 
-def _centres(k: int, source: str, cell: str, name: str) -> str:
-    """to_lat, to_lng: the centre of each cell, null for null."""
+def _centres(k: int, source: str, cell: str, name: str, part: str = "") -> str:
+    """to_lat, to_lng: the centre of each cell, or of its quarter where a part is given; null for null."""
+    col = f"case when {part} is null then 0.5::double else ({part} % 2 + 0.5::double) / 2 end" if part else "0.5::double"
+    row = f"case when {part} is null then 0.5::double else ({part} // 2 + 0.5::double) / 2 end" if part else "0.5::double"
     return f"""{name}_a as (
-        select s.*, {WEST}::double + (square % {WIDTH}) * {SIDE}::double + ({cell} % {k} + 0.5::double) * {SIDE / k!r}::double as x_, {SOUTH}::double + (square // {WIDTH}) * {SIDE}::double + ({cell} % {k * k} // {k} + 0.5::double) * {SIDE / k!r}::double as y_
+        select s.*, {WEST}::double + (square % {WIDTH}) * {SIDE}::double + ({cell} % {k} + {col}) * {SIDE / k!r}::double as x_, {SOUTH}::double + (square // {WIDTH}) * {SIDE}::double + ({cell} % {k * k} // {k} + {row}) * {SIDE / k!r}::double as y_
         from {source} s left join mask on rank = {cell} // {k * k}
     ), {name}_b as (select *, sqrt(x_ * x_ + y_ * y_) as rho, 2 * asin(sqrt(x_ * x_ + y_ * y_) / (2 * 6371008.8::double)) as c_ from {name}_a
     ), {name} as (
@@ -122,6 +125,28 @@ def _variants(word: str) -> str:
     return f"flatten([{', '.join(parts)}])"
 
 
+def _said() -> str:
+    """The nine forms of an address."""
+    abc = "".join(f", (select w from words where i = o_orderkey * {p} % 1296) as {n}" for n, p in zip("abc", (1, 7, 11)))
+    forms = [
+        "a || '.' || b || '.' || c", "upper(a) || ', ' || b || ', ' || c", "'  ' || a || ' ' || b || ' ' || c || ' 07 '", "a || ' ' || b || ' ' || c || ' forty two'", "a || '/' || b || '/' || c || '/four/oh'", "' . '", "'seventeen'",
+        "a || ' ' || b || ' ' || c || ' twelve three'", "a || '-ten-' || b || '-4-2'"]
+    cases = " ".join(f"when {k} then {form}" for k, form in enumerate(forms))
+    return f"{_WORDS}, spelled as (select o_orderkey{abc} from orders), typed as (select o_orderkey, case o_orderkey % {len(forms)} {cases} end as said from spelled)"
+
+
+def _value(token: str, table: dict[str, int]) -> str:
+    cases = " ".join(f"when '{k}' then {v}" for k, v in table.items())
+    return f"(case {token} {cases} end)"
+
+
+def _number() -> str:
+    one = f"coalesce({', '.join(_value('run[1]', t) for t in (UNITS, TEENS, TENS))})"
+    two = f"case when {_value('run[1]', TENS)} is not null and {_value('run[2]', UNITS)} > 0 then {_value('run[1]', TENS)} + {_value('run[2]', UNITS)} else {_value('run[1]', UNITS)} * 10 + {_value('run[2]', UNITS)} end"
+    written = "len(list_filter(run, lambda t: not regexp_full_match(t, '[0-9]+'))) = 0"
+    return f"case when len(run) = 0 then null when {written} then case when length(array_to_string(run, '')) <= 2 then array_to_string(run, '')::int end when len(run) = 1 then {one} when len(run) = 2 then {two} end"
+
+
 def oracles() -> dict[str, str]:
     u, p, g = plane(), phrase(), world()
     k, kp = u.k, p.k
@@ -158,7 +183,27 @@ def oracles() -> dict[str, str]:
     phrase_wrong = f"{phrase_number}, wrong as (select *, {mutate(phrase_sizes)} as said from f where cell is not null), {_back(p.scramble, 'wrong', 'said', 'found', 'b')}, landed as (select *, case when found < {p.used} and {phrase_check} = found % {p.check} then found // {p.check} end as to_cell from b), {_centres(kp, 'landed', 'to_cell', 'centred')}"
     vowels = "".join(c for c, ph in LETTERS.items() if ph in "AA AE AH AO AW AY EH ER EY IH IY OW OY UH UW".split())
     back_status = f"case when found >= {g.used} then 'no_such_address' when not ({valid}) then 'no_such_cell' when {_sha(_hex('cell', 8), g.check)} <> found % {g.check} then 'check_failed' else 'ok' end"
+    known = ", ".join(f"'{w}'" for w in (*UNITS, *TEENS, *TENS))
+    parsed = rf"""{_said()}, cut as (select o_orderkey, list_filter(regexp_split_to_array(lower(trim(said)), '[\s.,;:/-]+'), lambda t: t <> '') as tokens from typed),
+        ended as (select *, coalesce(list_max(list_transform(tokens, lambda t, i: case when regexp_full_match(t, '[0-9]+') or t in ({known}) then 0 else i end)), 0) as e from cut),
+        runs as (select *, tokens[e + 1:] as run from ended), numbers as (select *, {_number()} as number from runs),
+        judged as (select *, case when len(tokens) = 0 then 'empty' when e = 0 then 'no_words' when len(run) > 0 and number is null then 'bad_number' else 'ok' end as status from numbers)"""
+    tried = "case o_orderkey % 4 when 0 then digits when 1 then null when 2 then (digits + 1) % 100 else 100 end"
+
+    def fits(cell: str, number: str) -> str:
+        message = f"'{b'ukd'.hex()}' || {_hex(cell, 8)} || {_hex(f'({number} // 25)', 1)}"
+        return f"{_sha(message, 25)} = {number} % 25"
+
+    with_tried = f"{uk}, {with_number}, asked as (select *, ({tried})::bigint as tried from numbered), told as (select * exclude (part), case when tried is null then 'ok' when tried > 99 then 'number_range' when {fits('cell', 'least(tried, 99)')} then 'ok' else 'number_mismatch' end as status, case when tried <= 99 then tried // 25 end as part from asked)"
+    number_wrong = f"{uk}, {with_number}, wrong as (select *, {mutate([1296] * 3)} as said from numbered), {_back(u.scramble, 'wrong', 'said', 'found', 'b')}, landed as (select *, case when found < {u.count} and {fits('found', 'digits')} then found end as to_cell from b), {_centres(k, 'landed', 'to_cell', 'centred', 'part')}"
+    sides = ", ".join(f"({x0}::double, {y0}::double, {x1}::double, {y1}::double)" for (x0, y0), (x1, y1) in zip(RING, RING[1:] + RING[:1]))
+    refused = "case when to_cell is null then 'refused' else 'ok' end"
     return {
+        "parse_addresses": f"with {parsed} select o_orderkey, case when status = 'ok' then array_to_string(tokens[:e], ' ') end as words, case when status = 'ok' then number end::bigint as number, status from judged",
+        "parse_words": f"with {_said()}, cut as (select o_orderkey, list_filter(string_split(translate(lower(trim(said)), ', ', '..'), '.'), lambda t: t <> '') as w from typed) select o_orderkey, case when len(w) > 0 then array_to_string(w, ' ') end as words, case when len(w) > 0 then 'ok' else 'empty' end as status from cut",
+        "uk_decode_with": f"with {with_tried}, {_centres(k, 'told', 'cell', 'centred', 'part')} select o_orderkey, tried, status, case when status = 'ok' then round(to_lat, 6) end as to_lat, case when status = 'ok' then round(to_lng, 6) end as to_lng from centred",
+        "uk_wrong_word_with_number": f"with {number_wrong}, {refusals(refused, 'centred')} {counted}",
+        "scanline_fill": f"with sides as (select * from (values {sides}) s(x0, y0, x1, y1)), samples as (select i, j, {WEST}::double + (i + 0.5::double) * {SIDE}::double as x, {SOUTH}::double + (j + 0.5::double) * {SIDE}::double as y from range({WIDTH}) a(i), range({HEIGHT}) b(j)), inside as (select i, j from samples, sides where (y0 <= y) <> (y1 <= y) and x0 + (y - y0) * (x1 - x0) / (y1 - y0) < x group by i, j having count(*) % 2 = 1) select j, count(*) as samples, min(i) as first, max(i) as last from inside group by j",
         "uk_encode": f"with {uk} select o_orderkey, cell, case when cell is not null then {three} end as words, case when cell is null then 'outside' else 'ok' end as status from f",
         "uk_roundtrip_error": f"with {_MASK}, {orders}, {_cells(k)}, {_centres(k, '(select * from placed where cell is not null)', 'cell', 'centred')}, far as (select *, round({_METRES}, 6) as error from centred) select count(*) as points, count(*) as decoded, round(max(error), 4) as worst, round({_median('error', 'far')}, 4) as median_error from far",
         "uk_digits": f"with {uk}, {with_number} select o_orderkey, digits as number, {three} || ' ' || printf('%02d', digits) as address from numbered",

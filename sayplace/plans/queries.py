@@ -11,6 +11,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sayplace.functions.numbers import digits, settled
 from sayplace.functions.plane import great_circle
 from sayplace.operators import cells, mask, measure, phonetics, pool, selection, semantics, spelling, text
 from sayplace.operators.codecs import Phrase, Plane, World, spoken_text
@@ -127,7 +128,7 @@ def phrase_wrong_word(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _refusals(df: DataFrame) -> DataFrame:
-    df = df.withColumn("km", F.round(great_circle(F.col("lat"), F.col("lng"), F.col("to_lat"), F.col("to_lng")) / 1000, 3))
+    df = df.withColumn("km", settled(F.round(great_circle(F.col("lat"), F.col("lng"), F.col("to_lat"), F.col("to_lng")) / 1000, 3)))
     whole = df.agg(F.count(F.lit(1)).alias("trials"), F.count_if(F.col("status") != "ok").alias("refused"), F.count_if(F.col("km") < 1).alias("within_1_km"))
     return whole.crossJoin(measure.upper_median(df, "km").select(F.round("median", 2).alias("median_km")))
 
@@ -154,8 +155,6 @@ def neighbour_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _three(number: Column) -> list[Column]:
-    from sayplace.functions.numbers import digits
-
     return digits(number, [1296] * 3)
 
 
