@@ -85,10 +85,10 @@ def _pieces(name: str, token: str, capacity: int, end_id: int):
         known: Remembered = _WORKER["ids"]
         end = struct.pack("<I", end_id)
         for ids_of, texts in grouped(batches):
-            found = known.lookup([word_pieces(t) for t in texts])
+            found = known.lookup([word_pieces(t) for t in texts], b"".join)
             keys, starts, lengths, crcs, totals = [], [], [], [], []
-            for key, pieces in zip(ids_of.to_pylist(), found):
-                ids = b"".join(pieces) + end
+            for key, own in zip(ids_of.to_pylist(), found):
+                ids = own + end
                 n = len(ids) // 4
                 for start in range(0, n, capacity):
                     part = ids[4 * start : 4 * (start + capacity)]

@@ -53,7 +53,7 @@ def _count(name: str, token: str, table):
         known: Remembered = _WORKER["lengths"]
         for keys, texts in grouped(batches):
             cut = [byte_level_pieces(t, known.specials) for t in texts]
-            counts = [sum(lengths) for lengths in known.lookup(cut)]
+            counts = known.lookup(cut, sum)
             yield pa.RecordBatch.from_arrays(
                 [keys, pa.array([len(t) if t.isascii() else len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()), pa.array(counts, pa.int64())],
                 names=["id", "n_bytes", "n_tokens"])

@@ -5,15 +5,13 @@ from __future__ import annotations
 import gc
 import re
 from collections.abc import Iterator
-from itertools import compress
-from operator import not_
 
 import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 #: Pieces a worker remembers at most, in each of two generations; longer ones go to the library each time.
-CACHE_PIECES, CACHE_CHARS = 400_000, 60
+CACHE_PIECES, CACHE_CHARS = 600_000, 60
 
 #: Python counts these as white space and the library doesn't: such texts go to the library whole.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -40,7 +38,7 @@ def word_pieces(text: str) -> list[str]:
 
 
 #: Texts are looked up together until they have so many characters.
-GROUP_CHARS = 4_000_000
+GROUP_CHARS = 8_000_000
 
 
 def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
@@ -133,31 +131,20 @@ class Remembered:
             return word if word.isalpha() and (word.isascii() or not _CHANGING.search(word)) else ""
         return word if word[:1] == " " and word[1:].isalpha() else ""
 
-    def lookup(self, cut: list[list[str]]) -> list[list]:
-        """The values of each text's pieces. What is remembered is looked up once; the rest of all texts is learned together."""
-        # Lists of values make no cycles, and looking for cycles in them takes a sixth of the time.
+    def lookup(self, cut: list[list[str]], combine=list) -> list:
+        """What combine makes of the values of each text's pieces; the different pieces of all texts are learned together."""
+        # Nothing here makes cycles, and looking for cycles among so many objects takes a sixth of the time.
         collecting = gc.isenabled()
         gc.disable()
         try:
-            return self._lookup(cut)
+            if len(self.young) > CACHE_PIECES + len(self.first):
+                self.old, self.young = self.young, dict(self.first)
+            found = self.learn(set().union(*cut))
+            return [combine(map(found.__getitem__, pieces)) for pieces in cut]
         finally:
             if collecting:
                 gc.enable()
 
-    def _lookup(self, cut: list[list[str]]) -> list[list]:
-        if len(self.young) > CACHE_PIECES + len(self.first):
-            self.old, self.young = self.young, dict(self.first)
-        get = self.young.get
-        # No value is empty or 0: a piece has a token at least, so what is false isn't remembered.
-        values = [list(map(get, pieces)) for pieces in cut]
-        unknown = [list(compress(pieces, map(not_, v))) for pieces, v in zip(cut, values)]
-        found = self.learn(set().union(*unknown))
-        for v, pieces in zip(values, unknown):
-            if pieces:
-                rest = map(found.__getitem__, pieces)
-                v[:] = [x or next(rest) for x in v]
-        return values
-
     def learn(self, pieces: set[str]) -> dict:
         """Values of all these pieces, and of others."""
         young, old = self.young, self.old
