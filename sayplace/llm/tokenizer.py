@@ -11,10 +11,12 @@ import pyarrow as pa
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 #: Pieces a worker remembers at most, in each of two generations; longer ones go to the library each time.
-CACHE_PIECES, CACHE_CHARS = 600_000, 60
+CACHE_PIECES, CACHE_CHARS = 750_000, 60
 
 #: Python counts these as white space and the library doesn't: such texts go to the library whole.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: Beyond these, normal form or lower case may depend on more than one character; and the dotted capital I becomes two.
+_CHANGING = re.compile("[^\x00-\u024f]|\u0130")
 _BYTE_LEVEL = re.compile(r" ?\S+|\s+(?!\S)|\s")
 
 
@@ -31,9 +33,14 @@ def byte_level_pieces(text: str, specials: tuple[str, ...] = ()) -> list[str]:
 
 
 def word_pieces(text: str) -> list[str]:
-    """For pre-tokenizers that drop white space."""
+    """For pre-tokenizers that drop white space, after a lower case that is written here already where it changes characters one by one.
+
+    Strings of special tokens are in lower case themselves, so one in capitals must not become one.
+    """
     if _ODD_SPACE.search(text):
         return [text]
+    if "<|" not in text and (text.isascii() or not _CHANGING.search(text)):
+        text = text.lower()
     return text.split()
 
 
@@ -56,8 +63,6 @@ def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[
         yield pa.concat_arrays(keys), texts
 
 
-#: Beyond these, normal form or lower case may depend on more than one character; and the dotted capital I becomes two.
-_CHANGING = re.compile("[^\x00-\u024f]|\u0130")
 #: What may follow a word in its piece and is a pre-token of its own.
 _AFTER = ".,!?;:"
 
