@@ -259,9 +259,14 @@ def isolation_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keystroke_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the 1000 commonest words, as its SQL has it, which compares all with all; keystroke_pairs_all has the whole vocabulary."""
     return spelling.keystroke_pairs(common_words(spark, sf_dir, 1000).select("word"))
 
 
+def keystroke_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.keystroke_pairs(tokens(spark, sf_dir).select("word"))
+
+
 def contained_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.contained_pairs(tokens(spark, sf_dir).select("word"))
 
@@ -348,5 +353,5 @@ QUERIES = {f.__name__: f for f in (
     uk_encode, uk_roundtrip_error, uk_digits, uk_decode_with, uk_outside_by_nation, uk_square_density, uk_wrong_word, uk_wrong_word_with_number,
     global_words, global_scramble, global_decode_status, phrase_encode, phrase_wrong_word, neighbour_share, collision_check, numbers_fit,
     parse_addresses, parse_words, mask_runs, mask_decode, mask_dilate, scanline_fill, token_frequency_rank, syllable_histogram, phonetic_audit,
-    isolation_nearest, keystroke_pairs, contained_words, inflected_words, variant_words, compound_words, word_families, reject_reasons,
+    isolation_nearest, keystroke_pairs, keystroke_pairs_all, contained_words, inflected_words, variant_words, compound_words, word_families, reject_reasons,
     greedy_select, words_back, pos_dominance, hypernym_closure, stream_encode)}
