@@ -250,12 +250,20 @@ def syllable_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.groupBy(F.col("syllables").cast("long").alias("syllables")).agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("uses"))
 
 
+def spoken_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens(spark, sf_dir).select("word", "n", _letters(F.col("word")).alias("phonemes"))
+
+
 def phonetic_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return phonetics.audit(common_words(spark, sf_dir, 400), 2.0)
+    return phonetics.audit(spoken_tokens(spark, sf_dir), 2.0)
 
 
 def isolation_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return phonetics.isolation(common_words(spark, sf_dir, 200), common_words(spark, sf_dir, 2000))
+    """All tokens against the reference's number of the commonest ones."""
+    words = spoken_tokens(spark, sf_dir)
+    said = words.select("word", F.array_join("phonemes", " ").alias("pronunciation"), F.col("word").alias("position"))
+    frequency = words.select("word", "n", F.col("word").alias("position"))
+    return phonetics.isolation(words, pool.reference_words(said, frequency))
 
 
 def keystroke_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

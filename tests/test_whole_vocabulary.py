@@ -5,6 +5,7 @@ from collections import Counter
 
 import pytest
 
+from sayplace.operators import phonetics
 from sayplace.plans import queries
 
 
@@ -38,3 +39,25 @@ def test_keystroke_pairs_all(spark, words, folder):
     names = sorted(words)
     want = {(a, b) for k, a in enumerate(names) for b in names[k + 1 :] if abs(len(a) - len(b)) < 2 and keystroke(a, b)}
     assert {tuple(r) for r in queries.QUERIES["keystroke_pairs_all"](spark, folder).collect()} == want
+
+
+@pytest.fixture(scope="module")
+def distances(words):
+    """The distances below 2 of all pairs (a, b), a before b, as their lengths allow."""
+    names = sorted(words)
+    pairs = [(a, b) for k, a in enumerate(names) for b in names[k + 1 :] if abs(len(a) - len(b)) < 2]
+    said = {w: [queries.LETTERS[c] for c in w] for w in names}
+    found = phonetics.distances([said[a] for a, _ in pairs], [said[b] for _, b in pairs])
+    return {p: d for p, d in zip(pairs, found.tolist()) if d < 2}
+
+
+def test_phonetic_audit(spark, folder, distances):
+    assert {(r.a, r.b): r.d for r in queries.QUERIES["phonetic_audit"](spark, folder).collect()} == distances
+
+
+def test_isolation_nearest(spark, words, folder, distances):
+    want = dict.fromkeys(words, 2.0)
+    for (a, b), d in distances.items():
+        want[a], want[b] = min(want[a], d), min(want[b], d)
+    rows = queries.QUERIES["isolation_nearest"](spark, folder).collect()
+    assert len(rows) == len(words) and {r.word: r.isolation for r in rows} == want
