@@ -68,28 +68,37 @@ def conflicts(words: DataFrame, vocabulary: DataFrame, threshold: float = 2.0) -
     return edges.filter("a != b").groupBy(F.col("a").alias("word"), F.col("b").alias("other")).agg(F.min("kind").alias("kind"))
 
 
-def first_fit(vertices: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
+def first_fit(vertices: DataFrame, edges: DataFrame, rounds: int = 100, claim: str | None = None) -> DataFrame:
     """Rows (word, order, taken): the set that taking vertices in order makes, each if no taken one is joined to it.
 
     vertices: rows (word, order), order unique; edges: rows (word, other), in both directions. In each
     round every undecided vertex without an undecided neighbour before it is taken, and the neighbours of
     those go; few rounds are needed, as each decides the starts of all chains at once.
+
+    claim: a column of vertices; words with the same one are joined to each other, without a row for each pair.
     """
-    order = vertices.select("word", "order")
-    arcs = written(edges.select("word", "other").join(order, "word").join(order.select(F.col("word").alias("other"), F.col("order").alias("other_order")), "other").filter("other_order < order").select("word", "other").distinct())
+    claims = [claim] if claim else []
+    order = vertices.select("word", "order", *claims)
+    arc_order = order.select("word", "order")
+    arcs = written(edges.select("word", "other").join(arc_order, "word").join(arc_order.select(F.col("word").alias("other"), F.col("order").alias("other_order")), "other").filter("other_order < order").select("word", "other").distinct())
     open_, decided = written(order), None
     for _ in range(rounds):
         if open_.isEmpty():
             break
         live = arcs.join(open_.select("word"), "word", "left_semi").join(open_.select(F.col("word").alias("other")), "other", "left_semi")
-        taken = open_.join(live.select("word").distinct(), "word", "left_anti").withColumn("taken", F.lit(True))
-        gone = arcs.join(taken.select(F.col("word").alias("other")), "other", "left_semi").select("word").distinct()
-        now = written(taken.unionByName(open_.join(gone, "word", "left_semi").withColumn("taken", F.lit(False))))
+        free = open_.join(live.select("word").distinct(), "word", "left_anti")
+        if claim:
+            free = free.join(open_.groupBy(claim).agg(F.min("order").alias("order")), [claim, "order"], "left_semi")
+        taken = written(free.select("word", "order", *claims, F.lit(True).alias("taken")))
+        gone = arcs.join(taken.select(F.col("word").alias("other")), "other", "left_semi").select("word")
+        if claim:
+            gone = gone.unionByName(open_.join(taken.select(claim), claim, "left_semi").join(taken.select("word"), "word", "left_anti").select("word"))
+        now = written(taken.unionByName(open_.join(gone.distinct(), "word", "left_semi").withColumn("taken", F.lit(False))))
         decided = now if decided is None else decided.unionByName(now)
         open_ = written(open_.join(now.select("word"), "word", "left_anti"))
     else:
         raise RuntimeError("the selection did not settle")
-    return decided if decided is not None else order.withColumn("taken", F.lit(False))
+    return decided.drop(*claims) if decided is not None else arc_order.withColumn("taken", F.lit(False))
 
 
 def select(candidates: DataFrame, edges: DataFrame, size: int | None = None, prefix: int = PREFIX) -> tuple[DataFrame, DataFrame]:
@@ -100,9 +109,8 @@ def select(candidates: DataFrame, edges: DataFrame, size: int | None = None, pre
     tallied each time it is tested, under the first reason, until the list has its size.
     """
     start = F.substring("word", 1, prefix)
-    same = candidates.select("word", start.alias("p")).join(candidates.select(F.col("word").alias("other"), F.substring("word", 1, prefix).alias("p")), "p").filter("word != other")
     pairs = written(edges.select("word", "other", "kind"))
-    one = written(first_fit(candidates, pairs.select("word", "other").unionByName(same.select("word", "other"))))
+    one = written(first_fit(candidates.select("word", "order", start.alias("p")), pairs, claim="p"))
     first = one.filter("taken").select("word", "order")
     # The second round begins with those of the first already on the list.
     top = candidates.agg(F.max("order")).first()[0] or 0
@@ -119,7 +127,8 @@ def select(candidates: DataFrame, edges: DataFrame, size: int | None = None, pre
     met = tests.filter(F.col("order") <= last).join(pairs, "word").join(by, "other").filter("other_order < order")
     reasons = met.groupBy("word", "round").agg(F.min("kind").alias("kind"))
     # In the first round a word whose prefix is taken isn't tested at all.
-    skipped = same.join(by, "other").select("word", "other_order").join(one.select("word", "order"), "word").filter("other_order < order").select("word", F.lit(1).alias("round")).distinct()
+    claimed = by.groupBy(F.substring("other", 1, prefix).alias("p")).agg(F.min("other_order").alias("other_order"))
+    skipped = one.select("word", "order", start.alias("p")).join(claimed, "p").filter("other_order < order").select("word", F.lit(1).alias("round"))
     tallies = reasons.join(skipped, ["word", "round"], "left_anti").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
     named = F.element_at(F.array(*(F.lit(k) for k in KINDS)), F.col("kind") + 1)
     return chosen.withColumn("order", F.when(F.col("round") == 2, F.col("order") - top).otherwise(F.col("order"))), tallies.select(named.alias("kind"), "n")

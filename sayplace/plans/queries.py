@@ -306,14 +306,15 @@ def reject_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = spark.createDataFrame([], "word string")
     dictionary = words.select("word", F.lit(False).alias("proper"))
     starts = lambda p: words.filter(F.col("word").startswith(p)).select("word")
-    chain = pool.frequency_pool(spoken, words, starts("wh"), starts("an"), starts("es"), dictionary, dictionary, starts("on"), none, none, rarest=1500)
+    chain = pool.frequency_pool(spoken, words, starts("wh"), starts("an"), starts("es"), dictionary, dictionary, starts("on"), none, none)
     return pool.tallies(chain)
 
 
 def greedy_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A list of distinct words out of the 300 commonest, by frequency."""
-    words = selection.written(common_words(spark, sf_dir, 300))
+    """A list of distinct words out of all tokens, by frequency."""
+    words = selection.written(spoken_tokens(spark, sf_dir))
     ranked = wordlists.ranked(words.withColumn("position", F.col("word"))).select("word", "phonemes", (F.col("rank") + 1).alias("order"))
+    ranked = selection.written(ranked)
     edges = selection.conflicts(ranked.select("word", "phonemes"), words.select("word"))
     chosen, _ = selection.select(ranked.select("word", "order"), edges)
     return chosen.select("word", F.col("order").cast("long").alias("order"), F.col("round").cast("long").alias("round"))

@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from sayplace.operators import phonetics
+from sayplace.operators import phonetics, selection
 from sayplace.plans import queries
 
 
@@ -61,3 +61,22 @@ def test_isolation_nearest(spark, words, folder, distances):
         want[a], want[b] = min(want[a], d), min(want[b], d)
     rows = queries.QUERIES["isolation_nearest"](spark, folder).collect()
     assert len(rows) == len(words) and {r.word: r.isolation for r in rows} == want
+
+
+def test_reject_reasons_beyond_the_head(spark, folder):
+    assert "rare" not in {r.reason for r in queries.QUERIES["reject_reasons"](spark, folder).collect()}
+
+
+def test_greedy_select(spark, words, folder):
+    """Against one candidate after the other, first those whose three letters are free."""
+    entries = spark.createDataFrame([(w, [queries.LETTERS[c] for c in w]) for w in words], "word string, phonemes array<string>")
+    near = {}
+    for r in selection.conflicts(entries, entries.select("word")).collect():
+        near.setdefault(r.word, set()).add(r.other)
+    want, starts = {}, set()
+    for k in (1, 2):
+        for w in sorted(words, key=lambda w: (-words[w], w)):
+            if w not in want and (k == 2 or w[:3] not in starts) and not near.get(w, set()) & want.keys():
+                want[w] = k
+                starts.add(w[:3])
+    assert {r.word: r["round"] for r in queries.QUERIES["greedy_select"](spark, folder).collect()} == want
