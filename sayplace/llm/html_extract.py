@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from sayplace.llm.common import bound_batches
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|$)""", re.DOTALL)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
+#: Each attribute in turn, so that neither a longer name nor a value is taken for one.
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
 #: Fixed values of HTML: elements without content, with raw content, within a line, and those that end an open paragraph.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -30,6 +31,8 @@ NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side-bar menu nav navbar navigation breadcrumb breadcrumbs "
     "header masthead footer comment comments reply replies disqus cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription "
     "signup login share sharing social related recommended widget pagination pager toolbar skip hidden".split())
+#: Names that count only as a whole class or id, and what may stand before a name.
+WHOLE, BEFORE = frozenset(["hidden"]), frozenset(["site", "global"])
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 MAIN = ("article", "main")
 #: Weight of a path's own neighbours in the smoothing, and the share of the best fused score that a path must reach.
@@ -47,30 +50,57 @@ class Block:
     text: str
     outside: bool
     linked: int
+    wrapped: str | None = None
 
 
-def _excluded(tag: str, attributes: str, within_main: bool) -> bool:
-    if tag in OUTSIDE or tag == "header" and not within_main:
+#: What excludes an element: nothing, its class or id, or anything else.
+NOTHING, NAME, ELSE = 0, 1, 2
+
+
+def _named(word: str, tag: str, within_main: bool) -> bool:
+    """Whether a class or id is a name of what isn't article text, or begins with one; has-sidebar and entry-header aren't."""
+    if word in ("header", "masthead") and within_main:
+        return False
+    if word in NAMES:
         return True
-    if not attributes:
+    if tag in ("body", "html", *MAIN):
+        return False
+    first, *rest = re.split(r"[-_]+", word)
+    if first in BEFORE and rest:
+        first, *rest = rest
+    if first in ("header", "masthead") and within_main:
         return False
+    return first in NAMES and first not in WHOLE
+
+
+def _excluded(tag: str, attributes: str, within_main: bool) -> int:
+    if tag in OUTSIDE or tag == "header" and not within_main:
+        return ELSE
+    if not attributes:
+        return NOTHING
+    out = NOTHING
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
-            words = value.split()
-            if any(w in NAMES for w in words) or any(p in NAMES for w in words for p in re.split(r"[-_]+", w)) and tag not in ("body", "html", *MAIN):
-                return True
+            if any(_named(w, tag, within_main) for w in value.split()):
+                out = NAME
         elif name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return ELSE
         elif name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-    return False
+            return ELSE
+    return out
+
+
+def _wrapped(stack: list[tuple[str, int]]) -> str | None:
+    """The named article that stands, itself not excluded, in elements that are excluded by class or id alone."""
+    k = next((k for k, (t, _) in enumerate(stack) if t in MAIN), len(stack))
+    return stack[k][0] if k < len(stack) and all(x != ELSE for _, x in stack[:k]) and not any(x for _, x in stack[k:]) else None
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order, with character references decoded and white space runs as one space."""
     out: list[Block] = []
-    stack: list[tuple[str, bool]] = []
+    stack: list[tuple[str, int]] = []
     parts: list[str] = []
     linked = at = 0
 
@@ -80,7 +110,8 @@ def blocks(page: str) -> list[Block]:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 path = tuple(t for t, _ in stack if t not in INLINE)
-                out.append(Block(path, text, any(x for _, x in stack), linked))
+                outside = any(x for _, x in stack)
+                out.append(Block(path, text, outside, linked, _wrapped(stack) if outside else None))
             parts.clear()
         linked = 0
 
@@ -113,12 +144,12 @@ def blocks(page: str) -> list[Block]:
                 outside = _excluded(tag, attributes, any(t in MAIN for t, _ in stack))
                 if outside:
                     # Excluded words in a line are left out of it, and what follows goes on in the same block.
-                    stack.append((tag, True))
+                    stack.append((tag, ELSE))
                     close = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
                     stack.pop()
                     at = close.end() if close else at
                     continue
-                stack.append((tag, False))
+                stack.append((tag, NOTHING))
             continue
         end_block()
         if closing:
@@ -173,7 +204,12 @@ def extract(page: str | None) -> str:
     """
     if not page:
         return ""
-    kept = [b for b in blocks(page) if not b.outside]
+    found = blocks(page)
+    kept = [b for b in found if not b.outside or b.wrapped == "main"]
+    if not any(t in MAIN for b in kept for t in b.path):
+        # A name around the page's only articles doesn't exclude them, unless they are less than what is left (teasers).
+        if sum(len(b.text) for b in found if b.wrapped) > sum(len(b.text) for b in kept):
+            kept = [b for b in found if not b.outside or b.wrapped]
     if not kept:
         return ""
     sums: dict[tuple[str, ...], list[float]] = {}
