@@ -45,23 +45,29 @@ def rendezvous(key: Column, n_shards: int, weights: list[float] | None = None) -
     return F.array_max(F.array(*tries))["shard"]
 
 
-def shard(df: DataFrame, key: str, text: str, n_shards: int, buckets: int = 64) -> DataFrame:
+def shard(df: DataFrame, key: str, text: str, n_shards: int, buckets: int = 64, weights: list[float] | None = None, grown_weight: float = 1.0) -> DataFrame:
     """Rows (key, size, text_crc32, shard, slot, grown_shard) for every row of df.
 
     size: UTF-8 bytes of the text plus 16; a null text counts as empty. slot: gapless from 0 in each
-    shard. grown_shard: the shard with one shard more. Texts are read once and not shuffled; slots come
+    shard. grown_shard: the shard with one shard more. weights: as of rendezvous(), equal if None;
+    grown_weight: with weights, that of the one more. Texts are read once and not shuffled; slots come
     from a narrow table. Repeated rows get a slot each; a null key is a key like any other. Other
     columns of df are left out, so their names can't clash.
     """
     ws = Workspace(df.sparkSession, "shard")
     body = F.coalesce(F.col(text), F.lit(""))
-    before = _most(_scores(F.col(key), range(n_shards)))
-    after = _scores(F.col(key), range(n_shards, n_shards + 1))[0]
+    if weights is None:
+        before = _most(_scores(F.col(key), range(n_shards)))
+        after = _scores(F.col(key), range(n_shards, n_shards + 1))[0]
+        now, grown = _shard_of(F.col("_score")), _shard_of(F.greatest("_score", "_next"))
+    else:
+        before, after = rendezvous(F.col(key), n_shards, weights), rendezvous(F.col(key), n_shards + 1, [*weights, grown_weight])
+        now, grown = F.col("_score"), F.col("_next")
     rows = df.select(
         F.col(key).alias("key"), (F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(body).alias("text_crc32"),
         before.alias("_score"), after.alias("_next"))
     rows = rows.select(
-        "key", "size", "text_crc32", _shard_of(F.col("_score")).alias("shard"),
-        _shard_of(F.greatest("_score", "_next")).alias("grown_shard"), partition_bucket(buckets).alias("_bucket"))
+        "key", "size", "text_crc32", now.alias("shard"),
+        grown.alias("grown_shard"), partition_bucket(buckets).alias("_bucket"))
     numbered = gapless(ws.write(rows), ["shard"], "_bucket", ["key", "text_crc32", "size"], "slot")
     return numbered.drop("_bucket")
