@@ -11,7 +11,7 @@ CASES = [
     (f'{ARTICLE}<div class="related-posts"><article><p>A card, with text.</p></article></div>', TEXT),
     ('<div class="related"><article><p>Card.</p></article></div><div><p>The text itself, longer than cards; all of it.</p></div>', "The text itself, longer than cards; all of it."),
     (f'{ARTICLE}<div class="site-footer"><p>No, no.</p></div><p hidden>No.</p><div id=ad-slot>Buy, now.</div>', TEXT),
-    (f"<nav>{ARTICLE}</nav>", ""), (f"<div hidden>{ARTICLE}</div>", ""),
+    (f"<nav>{ARTICLE}</nav>", ""), (f"<div hidden>{ARTICLE}</div>", ""), (f'<div role="navigation">{ARTICLE}</div>', ""), (f'<div style="display: none">{ARTICLE}</div>', ""),
 ]
 
 
