@@ -55,3 +55,13 @@ def horner(parts: Sequence[Column], radices: Sequence[int]) -> Column:
 def settled(value: Column) -> Column:
     """The value, marked so that no filter on it is pushed below its projection, where it would stand as one long nested expression."""
     return F.when(F.spark_partition_id() >= 0, value)
+
+
+def apart(value: Column) -> Column:
+    """settled(), and so that its projection is compiled by itself, not in one method with all that is before and after it.
+
+    The compiler of whole stages makes one method of a chain of projections and joins, and the JVM only
+    interprets methods of more than 8000 bytes. A projection with a higher-order function isn't part of a
+    whole stage, so the chain is cut there.
+    """
+    return settled(F.get(F.transform(F.array(value), lambda x: x), F.lit(0)))

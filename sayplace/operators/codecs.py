@@ -10,7 +10,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sayplace.functions.numbers import digits, div, hex_of, horner, sha_mod
+from sayplace.functions.numbers import digits, div, hex_of, horner, settled, sha_mod
 from sayplace.operators import cells
 from sayplace.operators.feistel import Feistel
 from sayplace.operators.mask import Grid, built_in_runs
@@ -26,7 +26,7 @@ def _hear(df: DataFrame, words: str, lists: Sequence[Vocabulary], number: str) -
 
 def _spoken(value: Column, lists: Sequence[Vocabulary]) -> Column:
     said = F.array(*(v.spell(d) for v, d in zip(lists, digits(value, [len(v) for v in lists]))))
-    return F.when(value.isNotNull(), said)
+    return settled(F.when(value.isNotNull(), said))
 
 
 def spoken_text(words: Column) -> Column:

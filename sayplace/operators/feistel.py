@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sayplace.functions.numbers import div, hex_of, settled, sha_mod
+from sayplace.functions.numbers import apart, div, hex_of, sha_mod
 
 
 @dataclass(frozen=True)
@@ -48,17 +48,17 @@ class Feistel:
         would multiply, while Catalyst keeps chained projections of costly expressions apart.
         """
         a, b = (f"_{uuid.uuid4().hex[:8]}" for _ in range(2))
-        df = df.withColumns({a: div(F.col(value), self.right), b: F.col(value) % self.right})
+        df = df.withColumns({a: apart(div(F.col(value), self.right)), b: apart(F.col(value) % self.right)})
         for i in range(self.rounds):
             m = self._moduli(i)
             df = df.withColumns({a: F.col(b), b: (F.col(a) + self._mix(i, F.col(b), m)) % m})
-        return df.withColumn(out, settled(F.col(a) * self.right + F.col(b))).drop(a, b)
+        return df.withColumn(out, apart(F.col(a) * self.right + F.col(b))).drop(a, b)
 
     def back(self, df: DataFrame, value: str, out: str) -> DataFrame:
         """The inverse of forward."""
         a, b = (f"_{uuid.uuid4().hex[:8]}" for _ in range(2))
-        df = df.withColumns({a: div(F.col(value), self.right), b: F.col(value) % self.right})
+        df = df.withColumns({a: apart(div(F.col(value), self.right)), b: apart(F.col(value) % self.right)})
         for i in reversed(range(self.rounds)):
             m = self._moduli(i)
             df = df.withColumns({a: F.pmod(F.col(b) - self._mix(i, F.col(a), m), F.lit(m)), b: F.col(a)})
-        return df.withColumn(out, settled(F.col(a) * self.right + F.col(b))).drop(a, b)
+        return df.withColumn(out, apart(F.col(a) * self.right + F.col(b))).drop(a, b)

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sayplace.functions.numbers import settled
 from sayplace.functions.plane import Projection
 
 #: Squares across and up, a square's side and the south-west corner in metres.
@@ -36,6 +37,9 @@ def read_runs(spark: SparkSession, path: str) -> list[int]:
     return [int(n) for row in spark.read.text(path).collect() for n in row[0].split(",") if n.strip()]
 
 
+_TABLES: dict = {}
+
+
 @dataclass(frozen=True)
 class Grid:
     """The plane's squares, row-major from the south-west, of which those in the mask are numbered in order."""
@@ -54,8 +58,11 @@ class Grid:
         return np.concatenate([np.arange(e - n, e) for n, e in list(zip(self.runs, ends))[1::2]] or [np.empty(0, np.int64)])
 
     def table(self, spark: SparkSession) -> DataFrame:
-        """Rows (square, rank)."""
-        return spark.createDataFrame(pa.table({"square": pa.array(self.squares, pa.int64()), "rank": pa.array(np.arange(len(self.squares)), pa.int64())}))
+        """Rows (square, rank), sent to the JVM once a session, so that several broadcasts of one mask are one."""
+        key = (spark.sparkContext.applicationId, self.runs)
+        if key not in _TABLES:
+            _TABLES[key] = spark.createDataFrame(pa.table({"square": pa.array(self.squares, pa.int64()), "rank": pa.array(np.arange(len(self.squares)), pa.int64())}))
+        return _TABLES[key]
 
     def per_side(self, space: int) -> int:
         """The most cells along a square's side with which all cells fit in the space."""
@@ -69,7 +76,8 @@ class Grid:
     def cell(self, df: DataFrame, lat: str, lng: str, k: int, out: str) -> DataFrame:
         """out: the cell that holds a point, (rank * k + row) * k + column; null outside the mask. One broadcast hash join."""
         fx, fy = self.place(F.col(lat), F.col(lng))
-        df = df.withColumns({"_fx": fx, "_fy": fy})
+        # Settled: everything below uses them several times, and written out each time the method would be too large to be compiled.
+        df = df.withColumns({"_fx": settled(fx), "_fy": settled(fy)})
         i, j = F.floor("_fx"), F.floor("_fy")
         on_grid = (i >= 0) & (i < WIDTH) & (j >= 0) & (j < HEIGHT)
         df = df.withColumn("_square", F.when(on_grid, j * WIDTH + i))
@@ -93,9 +101,9 @@ class Grid:
         else:
             x = WEST + i * SIDE + col * size + (F.col(part) % parts + 0.5) * (size / parts)
             y = SOUTH + j * SIDE + row * size + (F.expr(f"{part} div {parts}") + 0.5) * (size / parts)
-        df = df.withColumns({"_x": x, "_y": y})
+        df = df.withColumns({"_x": settled(x), "_y": settled(y)})
         to_lat, to_lng = self.projection.to_sphere(F.col("_x"), F.col("_y"))
-        return df.withColumns({lat: to_lat, lng: to_lng}).drop("_of", "_rank", "_square", "_x", "_y")
+        return df.withColumns({lat: settled(to_lat), lng: settled(to_lng)}).drop("_of", "_rank", "_square", "_x", "_y")
 
     def part(self, lat: Column, lng: Column, k: int, parts: int = 2) -> Column:
         """Which of a cell's parts x parts parts a point lies in, row by row."""

@@ -2,40 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sayplace.operators.phonetics import sound_pairs
 from sayplace.operators.spelling import contained_pairs, families, keystroke_pairs, parts
+from sayplace.operators.tables import numbered, written
 
 #: Reasons in the order in which a candidate is tested.
 KINDS = ["shared piece", "shared root", "contained", "sound", "spelling"]
 PREFIX = 3
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new place in the folder all executors share (spark.checkpoint.dir), gone when the session's JVM ends; a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="sayplace-")
-        spark.sparkContext.setCheckpointDir(base)
-    path = f"{base}/{name}"
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return path
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Cut lineage by a table in the shared folder."""
-    path = shared_path(df.sparkSession, f"selection-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def band(rank: Column, base: float = 4.0) -> Column:
     """Coarse bands of familiarity: the logarithm of the rank."""
     return F.floor(F.log(rank + 2) / F.log(F.lit(base)) + 1e-12)
@@ -44,7 +24,7 @@ def band(rank: Column, base: float = 4.0) -> Column:
 def ordered(pool: DataFrame) -> DataFrame:
     """pool, rows (word, rank, isolation, position), without homophones and with `order`: by band, the most isolated first, then rank."""
     kept = pool.filter("isolation > 0")
-    return kept.withColumn("order", F.row_number().over(Window.orderBy(band(F.col("rank")), F.desc("isolation"), "rank", "position")))
+    return numbered(kept, [band(F.col("rank")), F.desc("isolation"), "rank", "position"], "order").withColumn("order", F.col("order") + 1)
 
 
 def conflicts(words: DataFrame, vocabulary: DataFrame, threshold: float = 2.0) -> DataFrame:
@@ -68,12 +48,13 @@ def conflicts(words: DataFrame, vocabulary: DataFrame, threshold: float = 2.0) -
     return edges.filter("a != b").groupBy(F.col("a").alias("word"), F.col("b").alias("other")).agg(F.min("kind").alias("kind"))
 
 
-def first_fit(vertices: DataFrame, edges: DataFrame, rounds: int = 100, claim: str | None = None) -> DataFrame:
+def first_fit(vertices: DataFrame, edges: DataFrame, claim: str | None = None) -> DataFrame:
     """Rows (word, order, taken): the set that taking vertices in order makes, each if no taken one is joined to it.
 
     vertices: rows (word, order), order unique; edges: rows (word, other), in both directions. In each
     round every undecided vertex without an undecided neighbour before it is taken, and the neighbours of
-    those go; few rounds are needed, as each decides the starts of all chains at once.
+    those go. Each round decides the first undecided word at least, so it comes to an end; how many rounds
+    there are is the length of the longest chain of conflicts in order, half of it where every second word goes.
 
     claim: a column of vertices; words with the same one are joined to each other, without a row for each pair.
     """
@@ -81,10 +62,8 @@ def first_fit(vertices: DataFrame, edges: DataFrame, rounds: int = 100, claim: s
     order = vertices.select("word", "order", *claims)
     arc_order = order.select("word", "order")
     arcs = written(edges.select("word", "other").join(arc_order, "word").join(arc_order.select(F.col("word").alias("other"), F.col("order").alias("other_order")), "other").filter("other_order < order").select("word", "other").distinct())
-    open_, decided = written(order), None
-    for _ in range(rounds):
-        if open_.isEmpty():
-            break
+    open_, decided, rounds = written(order), None, 0
+    while not open_.isEmpty():
         live = arcs.join(open_.select("word"), "word", "left_semi").join(open_.select(F.col("word").alias("other")), "other", "left_semi")
         free = open_.join(live.select("word").distinct(), "word", "left_anti")
         if claim:
@@ -95,9 +74,10 @@ def first_fit(vertices: DataFrame, edges: DataFrame, rounds: int = 100, claim: s
             gone = gone.unionByName(open_.join(taken.select(claim), claim, "left_semi").join(taken.select("word"), "word", "left_anti").select("word"))
         now = written(taken.unionByName(open_.join(gone.distinct(), "word", "left_semi").withColumn("taken", F.lit(False))))
         decided = now if decided is None else decided.unionByName(now)
+        rounds += 1
+        if rounds % 16 == 0:
+            decided = written(decided)
         open_ = written(open_.join(now.select("word"), "word", "left_anti"))
-    else:
-        raise RuntimeError("the selection did not settle")
     return decided.drop(*claims) if decided is not None else arc_order.withColumn("taken", F.lit(False))
 
 

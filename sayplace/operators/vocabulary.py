@@ -50,19 +50,31 @@ class Vocabulary:
     def joined(self) -> str:
         return " ".join(self.words)
 
+    @cached_property
+    def padded(self) -> tuple[bytearray, int]:
+        """The words' bytes, each filled up with spaces to the longest, and how many that has."""
+        width = max((len(w.encode()) for w in self.words), default=0)
+        return bytearray(b"".join(w.encode().ljust(width) for w in self.words)), width
+
     def spell(self, digit: Column) -> Column:
-        """The word at a position. The list is one literal array, folded once, not a join."""
-        return F.element_at(F.split(F.lit(self.joined), " "), (digit + 1).cast("int"))
+        """The word at a position: a piece of one binary literal, found without a search and small in a plan, not a join."""
+        raw, width = self.padded
+        return F.rtrim(F.substring(F.lit(raw), (digit * width + 1).cast("int"), F.lit(width)).cast("string"))
 
     def table(self, spark: SparkSession) -> DataFrame:
-        rows = spark.createDataFrame([(self.joined,)], "all string").select(F.posexplode(F.split("all", " ")).alias("position", "word"))
+        """Rows (word, position). Made by a plan alone, so that several broadcasts of one list are one."""
+        rows = spark.range(0, 1, 1, 1).select(F.posexplode(F.split(F.lit(self.joined), " ")).alias("position", "word"))
         return rows.select("word", F.col("position").cast("long").alias("position"))
 
     def hear(self, df: DataFrame, word: Column, out: str) -> DataFrame:
-        """out: the position of a word, null where it isn't on the list; a broadcast hash join."""
+        """out: the position of a word, null where it isn't on the list; a broadcast hash join.
+
+        The key is exploded from an array of one: else the planner, looking for partitions to prune, writes it
+        out down to the scan, and a permutation's rounds multiply on the way.
+        """
         key = f"_word_{out}"
         rows = self.table(df.sparkSession).select(F.col("word").alias(key), F.col("position").alias(out))
-        return df.withColumn(f"{key}_heard", word).join(F.broadcast(rows), F.col(f"{key}_heard") == F.col(key), "left").drop(key, f"{key}_heard")
+        return df.withColumn(f"{key}_heard", F.explode(F.array(word))).join(F.broadcast(rows), F.col(f"{key}_heard") == F.col(key), "left").drop(key, f"{key}_heard")
 
     def all_known(self, words: Column) -> Column:
         """Whether every word of an array of any length is on the list."""

@@ -106,11 +106,10 @@ def _tokens(least: int = 4, most: int = 9) -> str:
     return f"tokens as (select word, count(*) as n from (select unnest(regexp_extract_all(lower(text), '[a-z]+')) as word from documents) where length(word) between {least} and {most} group by word)"
 
 
-def _stems(word: str, rules: str) -> str:
-    """SQL list of the stems of a word by rules ending:instead, with doubled consonants undone."""
+def _stems(word: str, rules: list[tuple[str, str]]) -> str:
+    """SQL list of the stems of a word by pairs of an ending and what is in its place, with doubled consonants undone."""
     found = []
-    for rule in rules.split():
-        a, _, b = rule.partition(":")
+    for a, b in rules:
         cond = f"ends_with({word}, '{a}') and length({word}) - {len(a)} + {len(b)} >= {LEAST}"
         stem = f"substr({word}, 1, length({word}) - {len(a)}) || '{b}'"
         found += [f"case when {cond} then {stem} end", f"case when {cond} and length({stem}) > {LEAST} and substr({stem}, -1) = substr({stem}, -2, 1) and substr({stem}, -1) not in ('a','e','i','o','u') then substr({stem}, 1, length({stem}) - 1) end"]
@@ -119,8 +118,7 @@ def _stems(word: str, rules: str) -> str:
 
 def _variants(word: str) -> str:
     parts = []
-    for rule in VARIANTS.split():
-        a, _, b = rule.partition(":")
+    for a, b in VARIANTS:
         parts.append(f"list_transform(list_filter(range(1, length({word}) + 1), lambda p: substr({word}, p, {len(a)}) = '{a}'), lambda p: substr({word}, 1, p - 1) || '{b}' || substr({word}, p + {len(a)}))")
     return f"flatten([{', '.join(parts)}])"
 
@@ -223,13 +221,13 @@ def oracles() -> dict[str, str]:
         "mask_dilate": f"with {_MASK}, grown as (select distinct square % {WIDTH} + di as i, square // {WIDTH} + dj as j from mask, range(-1, 2) a(di), range(-1, 2) b(dj)) select count(*) as squares, sum(j * {WIDTH} + i)::bigint as total from grown where i between 1 and {WIDTH - 2} and j between 1 and {HEIGHT - 2}",
         "token_frequency_rank": f"with {_tokens()}, ranked as (select *, row_number() over (order by n desc, word) - 1 as rank from tokens) select word, n, rank, rank * 20 <= case length(word) when 4 then 55000 when 5 then 55000 when 6 then 45000 when 7 then 38000 when 8 then 28000 else 19000 end as affordable from ranked",
         "syllable_histogram": f"with {_tokens()} select length(regexp_replace(word, '[^{vowels}]', '', 'g')) as syllables, count(*) as words, sum(n)::bigint as uses from tokens group by 1",
-        "keystroke_pairs": f"with {_tokens()}, top as (select word from tokens order by n desc, word limit 1000) select a.word as a, b.word as b from top a join top b on a.word < b.word and abs(length(a.word) - length(b.word)) <= 1 where levenshtein(a.word, b.word) <= 1",
+        "keystroke_pairs": f"with {_tokens()}, keys as (select word, unnest(list_distinct(list_concat([word], list_transform(range(1, length(word) + 1), lambda p: substr(word, 1, p - 1) || substr(word, p + 1))))) as key from tokens), met as (select distinct a.word as a, b.word as b from keys a join keys b on a.key = b.key and a.word < b.word) select a, b from met where levenshtein(a, b) <= 1",
         "contained_words": f"with {_tokens()}, inside as (select distinct word as b, substr(word, p, l) as a from tokens, range(1, 7) x(p), range(4, 10) y(l) where p + l - 1 <= length(word)) select a, b from inside join tokens on word = a where a <> b",
         "inflected_words": f"with {_tokens()}, strong as (select word, unnest({_stems('word', STRONG)}) as base from tokens), weak as (select word, n, unnest({_stems('word', WEAK)}) as base from tokens) select word from strong where base in (select word from tokens) union select w.word from weak w join tokens t on t.word = w.base and t.n >= w.n",
         "variant_words": f"with {_tokens()}, other as (select word, unnest({_variants('word')}) as v from tokens) select distinct word from other where v <> word and length(v) >= {LEAST} and v in (select word from tokens)",
         "compound_words": f"with {_tokens()}, cut as (select word, substr(word, 1, k) as head, substr(word, k + 1) as tail from tokens, range(4, 6) x(k) where length(word) - k >= 4) select word, head, tail from cut where head in (select word from tokens) and tail in (select word from tokens)",
         "word_families": f"""with recursive {_tokens()}, bases as (
-            select word, unnest(list_concat({_stems('word', SUFFIXES)}, list_filter([{', '.join(f"case when starts_with(word, '{x}') and length(word) - {len(x)} >= {LEAST} then substr(word, {len(x) + 1}) end" for x in PREFIXES.split())}], lambda s: s is not null))) as base from tokens
+            select word, unnest(list_concat({_stems('word', SUFFIXES)}, list_filter([{', '.join(f"case when starts_with(word, '{x}') and length(word) - {len(x)} >= {LEAST} then substr(word, {len(x) + 1}) end" for x in PREFIXES)}], lambda s: s is not null))) as base from tokens
         ), links as (select distinct word, base from bases where base in (select word from tokens)), members as (
             select word, word as member, 0 as depth from tokens union select m.word, l.base, depth + 1 from members m join links l on l.word = m.member where depth < 3
         ) select word, count(distinct member) as members from members group by word""",

@@ -11,9 +11,9 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sayplace.functions.numbers import digits, settled
+from sayplace.functions.numbers import digits
 from sayplace.functions.plane import great_circle
-from sayplace.operators import cells, mask, measure, phonetics, pool, selection, semantics, spelling, text
+from sayplace.operators import cells, mask, measure, phonetics, pool, selection, semantics, spelling, tables, text
 from sayplace.operators.codecs import Phrase, Plane, World, spoken_text
 from sayplace.sources import wordlists
 
@@ -55,7 +55,8 @@ def uk_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 def uk_roundtrip_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = plane().encode(with_point(orders(spark, sf_dir), "o_orderkey"), "lat", "lng", status="encoded").filter("encoded = 'ok'").drop("cell")
     df = plane().decode(df, "words", "to_lat", "to_lng")
-    df = df.withColumn("error", F.round(great_circle(F.col("lat"), F.col("lng"), F.col("to_lat"), F.col("to_lng")), 6))
+    error = F.round(great_circle(F.col("lat"), F.col("lng"), F.col("to_lat"), F.col("to_lng")), 6)
+    df = tables.written(df.select("status", error.alias("error")))
     whole = df.agg(F.count(F.lit(1)).alias("points"), F.count_if(F.col("status") == "ok").alias("decoded"), F.round(F.max("error"), 4).alias("worst"))
     return whole.crossJoin(measure.upper_median(df, "error").select(F.round("median", 4).alias("median_error")))
 
@@ -128,7 +129,8 @@ def phrase_wrong_word(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _refusals(df: DataFrame) -> DataFrame:
-    df = df.withColumn("km", settled(F.round(great_circle(F.col("lat"), F.col("lng"), F.col("to_lat"), F.col("to_lng")) / 1000, 3)))
+    km = F.round(great_circle(F.col("lat"), F.col("lng"), F.col("to_lat"), F.col("to_lng")) / 1000, 3)
+    df = tables.written(df.select("status", km.alias("km")))
     whole = df.agg(F.count(F.lit(1)).alias("trials"), F.count_if(F.col("status") != "ok").alias("refused"), F.count_if(F.col("km") < 1).alias("within_1_km"))
     return whole.crossJoin(measure.upper_median(df, "km").select(F.round("median", 2).alias("median_km")))
 
@@ -240,11 +242,6 @@ def _letters(word: Column) -> Column:
     return F.transform(F.filter(F.split(word, ""), lambda c: c != ""), lambda c: F.element_at(named, c))
 
 
-def common_words(spark: SparkSession, sf_dir: str, most: int) -> DataFrame:
-    """The most frequent words, with phonemes: a word list has a size."""
-    return tokens(spark, sf_dir).orderBy(F.desc("n"), "word").limit(most).select("word", "n", _letters(F.col("word")).alias("phonemes"))
-
-
 def syllable_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = tokens(spark, sf_dir).withColumn("syllables", phonetics.syllables(_letters(F.col("word"))))
     return df.groupBy(F.col("syllables").cast("long").alias("syllables")).agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("uses"))
@@ -267,11 +264,6 @@ def isolation_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keystroke_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the 1000 commonest words, as its SQL has it, which compares all with all; keystroke_pairs_all has the whole vocabulary."""
-    return spelling.keystroke_pairs(common_words(spark, sf_dir, 1000).select("word"))
-
-
-def keystroke_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.keystroke_pairs(tokens(spark, sf_dir).select("word"))
 
 
@@ -312,9 +304,9 @@ def reject_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def greedy_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A list of distinct words out of all tokens, by frequency."""
-    words = selection.written(spoken_tokens(spark, sf_dir))
+    words = tables.written(spoken_tokens(spark, sf_dir))
     ranked = wordlists.ranked(words.withColumn("position", F.col("word"))).select("word", "phonemes", (F.col("rank") + 1).alias("order"))
-    ranked = selection.written(ranked)
+    ranked = tables.written(ranked)
     edges = selection.conflicts(ranked.select("word", "phonemes"), words.select("word"))
     chosen, _ = selection.select(ranked.select("word", "order"), edges)
     return chosen.select("word", F.col("order").cast("long").alias("order"), F.col("round").cast("long").alias("round"))
@@ -362,5 +354,5 @@ QUERIES = {f.__name__: f for f in (
     uk_encode, uk_roundtrip_error, uk_digits, uk_decode_with, uk_outside_by_nation, uk_square_density, uk_wrong_word, uk_wrong_word_with_number,
     global_words, global_scramble, global_decode_status, phrase_encode, phrase_wrong_word, neighbour_share, collision_check, numbers_fit,
     parse_addresses, parse_words, mask_runs, mask_decode, mask_dilate, scanline_fill, token_frequency_rank, syllable_histogram, phonetic_audit,
-    isolation_nearest, keystroke_pairs, keystroke_pairs_all, contained_words, inflected_words, variant_words, compound_words, word_families, reject_reasons,
+    isolation_nearest, keystroke_pairs, contained_words, inflected_words, variant_words, compound_words, word_families, reject_reasons,
     greedy_select, words_back, pos_dominance, hypernym_closure, stream_encode)}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sayplace.operators.tables import numbered
+
 
 def lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
     """Rows (position, line): a file's lines with their order. Positions grow along the file; they aren't gapless."""
@@ -19,7 +21,7 @@ def pronunciations(spark: SparkSession, path: str) -> DataFrame:
     """Rows (word, pronunciation, position) of a pronouncing dictionary: comments (;;;) are skipped, WORD(2) is an alternate of WORD."""
     rows = lines(spark, path).filter(~F.col("line").startswith(";;;")).select("position", F.filter(F.split("line", r"\s+"), lambda t: t != "").alias("t")).filter(F.size("t") >= 2)
     word = F.regexp_replace(F.lower(F.get("t", F.lit(0))), r"\([^(]*\)$", "")
-    return rows.select(word.alias("word"), F.array_join(F.slice("t", 2, 1000), " ").alias("pronunciation"), "position")
+    return rows.select(word.alias("word"), F.array_join(F.slice("t", F.lit(2), F.size("t")), " ").alias("pronunciation"), "position")
 
 
 def frequencies(spark: SparkSession, path: str) -> DataFrame:
@@ -31,7 +33,7 @@ def frequencies(spark: SparkSession, path: str) -> DataFrame:
 
 def ranked(frequency: DataFrame) -> DataFrame:
     """frequency with `rank`, 0 for the commonest; ties in the file's order."""
-    return frequency.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "position")) - 1)
+    return numbered(frequency, [F.desc("n"), "position"], "rank")
 
 
 def words(spark: SparkSession, *paths: str) -> DataFrame:
@@ -55,7 +57,8 @@ def places(cities: DataFrame, others: DataFrame, population: int = 200_000) -> D
 
 def surnames(spark: SparkSession, path: str, top: int = 25_000) -> DataFrame:
     """Rows (word): the first column of the first rows of a CSV file, without its header."""
-    rows = lines(spark, path).withColumn("n", F.row_number().over(Window.orderBy("position"))).filter((F.col("n") > 1) & (F.col("n") <= top + 1))
+    # The first rows in order, each task's own first ones before those of all.
+    rows = lines(spark, path).orderBy("position").limit(top + 1).withColumn("n", F.row_number().over(Window.orderBy("position"))).filter("n > 1")
     first = F.from_csv("line", "name string")
     return rows.select(F.lower(first["name"]).alias("word")).filter("word is not null").distinct()
 

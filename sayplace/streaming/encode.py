@@ -23,7 +23,7 @@ def outside_rate(points: DataFrame, codec: Plane, time: str, window: str = "10 m
 
 def encode_available(spark: SparkSession, path: str, codec: Plane) -> DataFrame:
     """Stream a table of orders through the codec into a table, until all that is there has run through."""
-    from sayplace.operators.selection import shared_path
+    from sayplace.operators.tables import shared_path
     from sayplace.plans.queries import with_point
 
     folder = shared_path(spark, f"stream-{uuid.uuid4().hex}")

@@ -191,3 +191,17 @@ def test_geojson(spark, tmp_path):
     assert rings.count() == 3
     squares = {r.square for r in mask.mask_from_rings(rings, "ring", "points").collect()}
     assert (308 + 321 * mask.WIDTH) in squares and 20 < len(squares) < 80
+
+
+def test_generated_methods_are_small_enough_to_be_compiled(spark):
+    """The JVM only interprets methods of more than 8000 bytes."""
+    from sayplace.plans import queries
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for name in ("uk_encode", "uk_square_density", "uk_decode_with", "global_words", "global_decode_status", "phrase_encode"):
+            plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan()
+            stages = spark._jvm.org.apache.spark.sql.execution.debug.__getattr__("package").codegenStringSeq(plan)
+            assert max(stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())) < 8000, name
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")

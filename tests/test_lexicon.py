@@ -202,3 +202,33 @@ def test_entry(spark, data):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_upper_median_of_many_values(spark):
+    import random
+
+    rng = random.Random(4)
+    values = [rng.choice([0.5, round(rng.gauss(0, 100), 3), rng.random()]) for _ in range(20_000)]
+    df = spark.createDataFrame([(k % 3 or None, v) for k, v in enumerate(values)], "g long, v double").repartition(7)
+    assert measure.upper_median(df, "v", accuracy=100).first()["median"] == sorted(values)[len(values) // 2]
+    want = {g: sorted(v for k, v in enumerate(values) if (k % 3 or None) == g) for g in (None, 1, 2)}
+    assert {r.g: r["median"] for r in measure.upper_median(df, "v", ["g"], accuracy=100).collect()} == {g: v[len(v) // 2] for g, v in want.items()}
+    assert measure.upper_median(df.limit(0), "v").first()["median"] is None
+
+
+def test_numbered(spark):
+    from sayplace.operators.tables import numbered
+
+    rows = [(k * 7919 % 1000 // 3, k) for k in range(1000)]
+    got = numbered(spark.createDataFrame(rows, "n long, position long").repartition(5), [F.desc("n"), "position"], "rank").collect()
+    assert [(r.n, r.position) for r in sorted(got, key=lambda r: r["rank"])] == sorted(rows, key=lambda r: (-r[0], r[1])) and sorted(r["rank"] for r in got) == list(range(1000))
+    assert numbered(spark.createDataFrame([], "n long, position long"), ["n"], "rank").count() == 0
+
+
+def test_first_fit_on_a_long_chain(spark):
+    from sayplace.operators.selection import first_fit
+
+    n = 60
+    vertices = spark.createDataFrame([(f"w{k:03}", k) for k in range(n)], "word string, order long")
+    edges = spark.createDataFrame([(f"w{a:03}", f"w{b:03}") for k in range(n - 1) for a, b in ((k, k + 1), (k + 1, k))], "word string, other string")
+    assert {r.order for r in first_fit(vertices, edges).filter("taken").collect()} == set(range(0, n, 2))

@@ -35,10 +35,10 @@ def keystroke(a, b):
     return a[k + (len(a) == len(b)) :] == b[k + 1 :]
 
 
-def test_keystroke_pairs_all(spark, words, folder):
+def test_keystroke_pairs(spark, words, folder):
     names = sorted(words)
     want = {(a, b) for k, a in enumerate(names) for b in names[k + 1 :] if abs(len(a) - len(b)) < 2 and keystroke(a, b)}
-    assert {tuple(r) for r in queries.QUERIES["keystroke_pairs_all"](spark, folder).collect()} == want
+    assert {tuple(r) for r in queries.QUERIES["keystroke_pairs"](spark, folder).collect()} == want
 
 
 @pytest.fixture(scope="module")
