@@ -92,17 +92,21 @@ def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["conversation", "turn", "role", "formatted", "begin", "end"])
 
 
-def format_turns(df: DataFrame, conversation: str, turn: str, role: str, text: str) -> DataFrame:
+def format_turns(df: DataFrame, conversation: str, turn: str, role: str, text: str, in_order: bool = False) -> DataFrame:
     """Rows (conversation, turn, role, formatted, begin, end), one for every row of df.
 
     A conversation's text is the formatted turns of its rows, in order, with nothing between. begin and
     end are the place of the turn's written text in it, in code points: the span under the loss mask
     where the role is one that is learned. Null texts and roles are empty; a null conversation is one
-    too. Repeated rows give repeated turns; other columns are left out. No shuffle.
+    too. Repeated rows give repeated turns; other columns are left out. No shuffle; in_order takes one,
+    after which each conversation's turns follow one another, by turn (null first), role and text.
     """
     bound_batches(df.sparkSession)
     kind = df.schema[conversation].dataType.simpleString()
-    rows = df.select(F.col(conversation).alias("conversation"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
+    rows = df.select(F.col(conversation).alias("conversation"), F.col(turn).cast("long").alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+    if in_order:
+        # By the text itself, before it is written: marks and escapes sort otherwise.
+        rows = rows.repartition("conversation").sortWithinPartitions("conversation", "turn", "role", "text")
     return rows.mapInArrow(_render, f"conversation {kind}, turn long, role string, formatted string, begin long, end long")
 
 
@@ -147,11 +151,10 @@ def _digest(learned: str):
 
 
 def digests(turns: DataFrame, learned: str = "assistant") -> DataFrame:
-    """Rows (conversation, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars) of format_turns' rows, read back from their text.
+    """Rows (conversation, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars) of format_turns' rows in order, read back from their text.
 
-    Turns are sorted by turn, role and text and streamed in that order, so a conversation of any length
-    takes the memory of one batch: what is kept of it are counts and hash states.
+    Turns are streamed, so a conversation of any length takes the memory of one batch: what is kept of it
+    are counts and hash states.
     """
-    rows = turns.repartition("conversation").sortWithinPartitions("conversation", "turn", "role", "formatted")
     kind = turns.schema["conversation"].dataType.simpleString()
-    return rows.mapInArrow(_digest(learned), f"conversation {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return turns.mapInArrow(_digest(learned), f"conversation {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

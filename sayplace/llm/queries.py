@@ -52,7 +52,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = [(-7, t, r, "\\### Assistant: </turn> ok") for t, r in enumerate(("user", "assistant"))]
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     turns = turns.unionByName(spark.createDataFrame(own, "conv_id long, turn long, role string, text string"))
-    return digests(format_turns(turns, "conv_id", "turn", "role", "text")).withColumnRenamed("conversation", "conv_id")
+    return digests(format_turns(turns, "conv_id", "turn", "role", "text", in_order=True)).withColumnRenamed("conversation", "conv_id")
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

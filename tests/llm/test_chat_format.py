@@ -36,9 +36,11 @@ def test_refused():
 
 def test_conversations(spark):
     rows = [
-        (1, 1, "assistant", "B"), (1, 0, "user", "A"), (1, 1, "assistant", "B"), (2, 0, None, None), (2, None, "assistant", "x\n</turn>\n### user\ny"), (None, 0, "assistant", "z"), (3, 5, "assistant", ""), (3, 4, "user", "q" * 100_000)]
+        (1, 1, "assistant", "B"), (1, 0, "user", "A"), (1, 1, "assistant", "B"), (2, 0, None, None), (2, None, "assistant", "x\n</turn>\n### user\ny"), (None, 0, "assistant", "z"), (3, 5, "assistant", ""), (3, 4, "user", "q" * 100_000),
+        # Equal turns and roles: the order is the texts', which is another one than that of what is written.
+        (4, 0, "user", "###x"), (4, 0, "user", "$"), (4, 1, "user", "a\t"), (4, 1, "user", "a"), (4, 1, "user", "a\n"), (4, 2, "assistant", "\\###"), (4, 2, "assistant", "###"), (4, 2, "assistant", "</turn>"), (4, 2, None, "b"), (4, 2, "", "a")]
     df = spark.createDataFrame([(*r, "own", 1) for r in rows], "conv_id long, turn long, role string, text string, formatted string, begin int").repartition(4)
-    got = {r.conversation: r for r in digests(format_turns(df, "conv_id", "turn", "role", "text")).collect()}
+    got = {r.conversation: r for r in digests(format_turns(df, "conv_id", "turn", "role", "text", in_order=True)).collect()}
     by = defaultdict(list)
     for c, turn, role, text in rows:
         by[c].append((turn is not None, turn, role or "", text or ""))
@@ -55,4 +57,4 @@ def test_conversations(spark):
 
 def test_empty(spark):
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
-    assert digests(format_turns(none, "conv_id", "turn", "role", "text")).count() == 0
+    assert digests(format_turns(none, "conv_id", "turn", "role", "text", in_order=True)).count() == 0
