@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from sayplace.llm.common import bound_batches
+from sayplace.llm.common import Workspace, bound_batches
 
 WINDOW = 10
-#: A test suite is broadcast whole; one beyond this many bytes is refused with an error, never cut.
-MAX_BENCHMARK_BYTES = 64 << 20
+#: Windows are broadcast, so many bytes of them at a time; an automaton takes about forty times that in each worker.
+#: A larger test suite is scanned for in parts, one after another.
+MAX_WINDOW_BYTES = 8 << 20
+
+_WORKER: dict = {}
 
 #: Bytes to bytes: A-Z to a-z; 0-9, a-z and what UTF-8 has beyond ASCII stay; the rest separates words.
 _WORD_BYTES = bytes(
@@ -58,6 +62,16 @@ def _offsets(text: str) -> list[tuple[int, int]]:
     return out + [(begin, len(text))] if begin >= 0 else out
 
 
+def union(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    merged: list[tuple[int, int]] = []
+    for run in sorted(runs):
+        if merged and run[0] <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(run[1], merged[-1][1]))
+        else:
+            merged.append(run)
+    return merged
+
+
 def hits(text: str | None, trie) -> tuple[int, list[tuple[int, int]], set[int]]:
     """The count of words, the runs [first, last) of words inside any window that occurs, and the items hit."""
     w = words(text)
@@ -77,32 +91,43 @@ def hits(text: str | None, trie) -> tuple[int, list[tuple[int, int]], set[int]]:
             runs[-1] = (min(first, runs[-1][0]), last)
         else:
             runs.append((first, last))
-    merged: list[tuple[int, int]] = []
-    for run in sorted(runs):
-        if merged and run[0] <= merged[-1][1]:
-            merged[-1] = (merged[-1][0], max(run[1], merged[-1][1]))
-        else:
-            merged.append(run)
-    return len(w), merged, items
+    return len(w), union(runs), items
+
+
+_RUNS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+_SPANS = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+_FOUND = "n_words long, runs array<struct<first: long, last: long>>, items array<string>"
+
 
+def _find(patterns, token: str, before: bool, after: list[str], spans: bool):
+    """Of each text the words, the runs hit and the items, with those that parts before this one found; columns named in after go along, and the runs as spans of the text if wanted."""
 
-def _scan(patterns):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, names = automaton(patterns.value[0]), patterns.value[1]
+        if _WORKER.get("token") != token:
+            _WORKER.clear()
+            _WORKER.update(token=token, trie=automaton(patterns.value[0]))
+        trie, names = _WORKER["trie"], patterns.value[1]
         for batch in batches:
-            n_words, n_hit, n_items, shas, spans = [], [], [], [], []
-            for text in batch.column(1).to_pylist():
-                n, runs, items = hits(text, trie)
+            n_words, runs, items = [], [], []
+            for text in batch.column("text").to_pylist():
+                n, r, i = hits(text, trie)
                 n_words.append(n)
-                n_hit.append(sum(b - a for a, b in runs))
-                n_items.append(len(items))
-                shas.append(hashlib.sha256(",".join(sorted(names[k] for k in items)).encode()).hexdigest())
-                at = _offsets(text) if runs else []
-                spans.append([{"begin": at[a][0], "end": at[b - 1][1]} for a, b in runs])
-            span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(shas), pa.array(spans, span)],
-                names=["id", "n_words", "n_hit", "n_items", "items_sha256", "spans"])
+                runs.append(r)
+                items.append(sorted(names[k] for k in i))
+            if before:
+                for k, (r, i) in enumerate(zip(batch.column("runs").to_pylist(), batch.column("items").to_pylist())):
+                    runs[k] = union([*runs[k], *((x["first"], x["last"]) for x in r)])
+                    items[k] = sorted({*items[k], *i})
+            found = [pa.array(n_words, pa.int64()), pa.array([[{"first": a, "last": b} for a, b in r] for r in runs], _RUNS), pa.array(items, pa.list_(pa.string()))]
+            more = ["n_words", "runs", "items"]
+            if spans:
+                lie = []
+                for text, r in zip(batch.column("text").to_pylist(), runs):
+                    at = _offsets(text) if r else []
+                    lie.append([{"begin": at[a][0], "end": at[b - 1][1]} for a, b in r])
+                found.append(pa.array(lie, _SPANS))
+                more.append("spans")
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in after), *found], names=[*after, *more])
 
     return run
 
@@ -117,22 +142,64 @@ def _patterns(items: list[Row], size: int) -> tuple[dict[str, tuple[int, tuple[i
     return {w: (w.count(" ") - 1, tuple(sorted(o))) for w, o in owners.items()}, names
 
 
-def scan(docs: DataFrame, key: str, text: str, benchmark: DataFrame, item: str, item_text: str, size: int = WINDOW, max_bytes: int = MAX_BENCHMARK_BYTES) -> DataFrame:
+def _parts(benchmark: DataFrame, item: str, item_text: str, size: int, most: int) -> list[list[Row]]:
+    """The items in parts whose windows have so many bytes at most, but for a part of one item; the driver holds one part at a time but for their numbers.
+
+    A window has some size times its share of the text: that is what is added up here, on the executors.
+    """
+    rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("text"), (F.octet_length(F.coalesce(F.col(item_text), F.lit(""))) * size + 1).alias("bytes"))
+    total = rows.agg(F.sum("bytes")).first()[0] or 0
+    if total <= most:
+        return [rows.select("item", "text").collect()]
+    count = -(-total // most) * 2
+    part: Column = F.pmod(F.xxhash64("text"), F.lit(count))
+    return [some for k in range(count) if (some := rows.filter(part == k).select("item", "text").collect())]
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, item: str, item_text: str, size: int, max_bytes: int, columns: list[str], spans: bool = False) -> DataFrame:
+    """The named columns of docs, which has a column text, and what is found in it, one row for every row.
+
+    One part: one scan without a shuffle. More parts: a scan each, with a table in the shared folder between.
+    """
+    spark = docs.sparkSession
+    bound_batches(spark)
+    parts = _parts(benchmark, item, item_text, size, max_bytes)
+    ws = Workspace(spark, "decontaminate") if len(parts) > 1 else None
+    out = docs
+    for k, some in enumerate(parts):
+        last = k == len(parts) - 1
+        keep = columns if last else list(dict.fromkeys([*columns, "text"]))
+        kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+        patterns = spark.sparkContext.broadcast(_patterns(some, size))
+        kinds += f", {_FOUND}" + (", spans array<struct<begin: long, end: long>>" if last and spans else "")
+        after = out.mapInArrow(_find(patterns, uuid.uuid4().hex, k > 0, keep, last and spans), kinds)
+        before, out = out, after if last else ws.write(after)
+        if 0 < k and not last:
+            ws.drop(before)
+    return out
+
+
+def scan(docs: DataFrame, key: str, text: str, benchmark: DataFrame, item: str, item_text: str, size: int = WINDOW, max_bytes: int = MAX_WINDOW_BYTES) -> DataFrame:
     """Rows (id, n_words, n_hit, n_items, items_sha256, spans), one for every row of docs.
 
     Texts and items are lower-cased (A-Z) and cut into words of 0-9, a-z and characters beyond ASCII. A
     word inside any occurrence of a window of an item is hit; spans are the runs of hit words, as code
     point offsets in the original text. Null and empty texts have no words; an item without words has no
     window; a null item id counts as the item ''. Rows that share an item id are one item. Repeated rows
-    give repeated rows; other columns are left out. The scan has no shuffle: the benchmark, whose size
-    is checked, is broadcast.
+    give repeated rows; other columns are left out. The scan has no shuffle: the windows are broadcast,
+    max_bytes of them at most, and where there are more, one part after another is scanned for.
     """
-    spark = docs.sparkSession
-    bound_batches(spark)
-    rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("text"))
-    large = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if large > max_bytes:
-        raise ValueError(f"the benchmark has {large} bytes, over the {max_bytes} that may be broadcast; scan it in parts")
-    patterns = spark.sparkContext.broadcast(_patterns(rows.collect(), size))
-    return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(
-        _scan(patterns), f"id {docs.schema[key].dataType.simpleString()}, n_words long, n_hit long, n_items long, items_sha256 string, spans array<struct<begin: long, end: long>>")
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    found = _found(rows, benchmark, item, item_text, size, max_bytes, ["id"], spans=True)
+    hit = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["last"] - r["first"])
+    return found.select(
+        "id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "spans")
+
+
+def clean(docs: DataFrame, text: str, benchmark: DataFrame, item: str, item_text: str, size: int = WINDOW, max_bytes: int = MAX_WINDOW_BYTES) -> DataFrame:
+    """The rows of docs in whose text no window of an item occurs, each row judged by itself, with its own columns; see scan."""
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    at = docs.columns.index(text)
+    rows = docs.toDF(*("text" if k == at else n for k, n in enumerate(names)))
+    found = _found(rows, benchmark, item, item_text, size, max_bytes, rows.columns)
+    return found.filter(F.size("runs") == 0).select(*rows.columns).toDF(*docs.columns)

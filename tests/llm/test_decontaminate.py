@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from sayplace.llm.decontaminate import scan, windows, words
+from sayplace.llm.decontaminate import _parts, clean, scan, windows, words
 
 ITEMS = [(1, "The quick brown fox jumps over the lazy dog and then some more words follow"), (2, "Short one"), (3, ""), (4, None), (None, "alpha beta"), (5, "é-à 1 2"), (6, "short ONE"), (1, "second text of item one here it is now really")]
 
@@ -50,9 +50,22 @@ def test_empty(spark, benchmark, no_documents, odd_documents):
     assert nothing.filter("n_hit > 0 or n_items > 0").count() == 0 and nothing.count() == odd_documents.count()
 
 
-def test_size_is_checked(benchmark, odd_documents):
-    with pytest.raises(ValueError):
-        scan(odd_documents, "doc_id", "text", benchmark, "item_id", "text", max_bytes=10)
+def test_parts(spark, benchmark, odd_documents):
+    """A large suite is scanned for in parts, with the same results."""
+    docs = odd_documents.unionByName(spark.createDataFrame([(77, "the quick brown fox jumps over the lazy dog and; second text of item one here it is now really. Alpha beta", "en", 1, 2, "b", 3)], odd_documents.schema))
+    whole = scan(docs, "doc_id", "text", benchmark, "item_id", "text").collect()
+    assert sorted(map(str, scan(docs, "doc_id", "text", benchmark, "item_id", "text", max_bytes=900).collect())) == sorted(map(str, whole))
+    assert len(_parts(benchmark, "item_id", "text", 10, 900)) > 1
+
+
+def test_clean(spark, benchmark, odd_documents):
+    """Rows are judged one by one, also those that share an id."""
+    rows = [(1, "short one", "en", 1, 2, "b", 3), (1, "nothing here", "en", 1, 2, "b", 3), (1, "nothing here", "de", 1, 2, "b", 3)]
+    docs = spark.createDataFrame(rows, odd_documents.schema)
+    for most in (10**6, 900):
+        got = clean(docs, "text", benchmark, "item_id", "text", max_bytes=most)
+        assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == sorted(rows[1:])
+    assert sorted(map(str, clean(odd_documents, "text", benchmark.limit(0), "item_id", "text").collect())) == sorted(map(str, odd_documents.collect()))
 
 
 def test_windows():
