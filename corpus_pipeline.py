@@ -1,22 +1,25 @@
 """The corpus pipeline: toxicity, exact and near duplicates, benchmark passages, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows the stage before it kept; all but the last
-return the columns of documents. Rows that share a doc_id stay or go together.
+return the columns of documents. Rows are judged one by one, also where they share a doc_id, but for near
+duplicates: there the texts of one doc_id stay or go together.
 """
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sayplace.llm.common import Workspace
-from sayplace.llm.decontaminate import scan
+from sayplace.llm.decontaminate import clean
 from sayplace.llm.exact_dedup import exact_dedup
 from sayplace.llm.near_dedup import near_dedup
 from sayplace.llm.packing import pack
 from sayplace.llm.queries import toxicity_model
-from sayplace.llm.toxicity import scores
+from sayplace.llm.toxicity import below
 
 #: Scores from here on are rejected as toxic.
 TOXIC = 0.3
@@ -32,14 +35,19 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose toxicity score is TOXIC or more."""
-    judged = scores(docs, "doc_id", "text", toxicity_model(spark, sf_dir))
-    return _only(docs, judged.filter(F.col("score") < TOXIC).select("id"))
+    """Drops documents whose toxicity score is TOXIC or more. One scan."""
+    return below(docs, "text", toxicity_model(spark, sf_dir), TOXIC)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that are equal but for the case of A-Z, keeps the one with the largest doc_id."""
-    return _only(docs, exact_dedup(docs, "doc_id", "text").filter("kept").select("id"))
+    """Of documents that are equal but for the case of A-Z, keeps the one with the largest doc_id.
+
+    Rows meet their verdict by doc_id and the digest of their text, so that of two texts under one doc_id
+    one can stay and the other go.
+    """
+    kept = exact_dedup(docs, "doc_id", "text").filter("kept").select("id", F.col("text_sha256").alias("_sha"))
+    sha = F.sha2(F.translate(F.coalesce("text", F.lit("")), ascii_uppercase, ascii_lowercase), 256)
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["id"]) & (sha == kept["_sha"]), "left_semi")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,9 +56,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which a benchmark window occurs."""
-    found = scan(docs, "doc_id", "text", spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "item_id", "text")
-    return _only(docs, found.filter("n_hit = 0").select("id"))
+    """Drops documents in which a benchmark window occurs. One scan."""
+    return clean(docs, "text", spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "item_id", "text")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -74,3 +74,16 @@ def test_odd_rows(spark, data, odd_documents, no_documents):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             assert stage(spark, docs, data).columns == docs.columns
             assert stage(spark, docs, data).count() <= docs.count()
+
+
+def test_rows_that_share_an_id(spark, data, odd_documents):
+    """An id with a good and a bad row keeps the good one alone."""
+    item = next(r.text for r in spark.read.parquet(f"{data}/benchmark.parquet").collect() if len((r.text or "").split()) > 20)
+    plain = "a plain sentence about the weather of the day, number"
+    rows = [(1, f"{plain} one"), (1, f"{plain} one. {item}"), (2, f"{plain} two two"), (2, "Same text"), (3, "same TEXT"), (None, f"{plain} three"), (None, "same text")]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    texts = lambda df: sorted((str(r.doc_id), r.text) for r in df.collect())
+    assert texts(stages["benchmark"](spark, docs, data)) == sorted((str(k), t) for k, t in rows if item not in t)
+    gone = {(2, "Same text"), (None, "same text")}
+    assert texts(stages["exact"](spark, docs, data)) == sorted((str(k), t) for k, t in rows if (k, t) not in gone)
