@@ -14,11 +14,15 @@ from pyspark.sql import functions as F
 
 from sayplace.llm.common import Workspace, bound_batches, gapless
 from sayplace.llm.token_count import local, ship
-from sayplace.llm.tokenizer import Remembered, grouped, packed, word_pieces
+from sayplace.llm.tokenizer import grouped
+from sayplace.llm.word_ids import WordIds
 
 #: Rows of one length are numbered in so many buckets; full windows, which may be most rows, in more.
 BUCKETS, FULL_BUCKETS = 16, 4096
 
+#: Texts are looked up together until they have so many characters.
+GROUP_CHARS = 8_000_000
+
 _WORKER: dict = {}
 
 
@@ -81,14 +85,14 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
 def _pieces(name: str, token: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if _WORKER.get("token") != token:
-            _WORKER.update(token=token, ids=Remembered(local(name), packed))
-        known: Remembered = _WORKER["ids"]
+            _WORKER.update(token=token, ids=WordIds(local(name)))
+        known: WordIds = _WORKER["ids"]
         end = struct.pack("<I", end_id)
-        for ids_of, texts in grouped(batches):
-            found = known.lookup([word_pieces(t) for t in texts], b"".join)
+        for ids_of, texts in grouped(batches, GROUP_CHARS):
+            all_ids, bounds = known.lookup(texts)
             keys, starts, lengths, crcs, totals = [], [], [], [], []
-            for key, own in zip(ids_of.to_pylist(), found):
-                ids = own + end
+            for key, first, last in zip(ids_of.to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+                ids = all_ids[first:last].astype("<u4", copy=False).tobytes() + end
                 n = len(ids) // 4
                 for start in range(0, n, capacity):
                     part = ids[4 * start : 4 * (start + capacity)]

@@ -8,15 +8,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from tokenizers import Tokenizer, normalizers, pre_tokenizers
+from tokenizers import Tokenizer
 
 #: Pieces a worker remembers at most, in each of two generations; longer ones go to the library each time.
 CACHE_PIECES, CACHE_CHARS = 300_000, 60
 
 #: Python counts these as white space and the library doesn't: such texts go to the library whole.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
-#: Beyond these, normal form or lower case may depend on more than one character; and the dotted capital I becomes two.
-_CHANGING = re.compile("[^\x00-\u024f]|\u0130")
 _BYTE_LEVEL = re.compile(r" ?\S+|\s+(?!\S)|\s")
 
 
@@ -32,23 +30,11 @@ def byte_level_pieces(text: str, specials: tuple[str, ...] = ()) -> list[str]:
     return _BYTE_LEVEL.findall(text)
 
 
-def word_pieces(text: str) -> list[str]:
-    """For pre-tokenizers that drop white space, after a lower case that is written here already where it changes characters one by one.
-
-    Strings of special tokens are in lower case themselves, so one in capitals must not become one.
-    """
-    if _ODD_SPACE.search(text):
-        return [text]
-    if "<|" not in text and (text.isascii() or not _CHANGING.search(text)):
-        text = text.lower()
-    return text.split()
-
-
 #: Texts are looked up together until they have so many characters.
 GROUP_CHARS = 4_000_000
 
 
-def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
+def grouped(batches: Iterator[pa.RecordBatch], chars: int = GROUP_CHARS) -> Iterator[tuple[pa.Array, list[str]]]:
     """The batches' first columns and texts (null: empty), several batches together while they are small."""
     keys, texts, size = [], [], 0
     for batch in batches:
@@ -56,7 +42,7 @@ def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[
         keys.append(batch.column(0))
         texts += more
         size += sum(map(len, more))
-        if size >= GROUP_CHARS:
+        if size >= chars:
             yield pa.concat_arrays(keys), texts
             keys, texts, size = [], [], 0
     if texts:
@@ -72,12 +58,6 @@ def counted(ids: list[int], cuts: list[int]) -> list[int]:
     return [b - a for a, b in zip(cuts, cuts[1:])]
 
 
-def packed(ids: list[int], cuts: list[int]) -> list[bytes]:
-    """The value of a piece as its ids, little-endian unsigned 32-bit."""
-    raw = np.array(ids, "<u4").tobytes()
-    return [raw[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:])]
-
-
 class Remembered:
     """Values of pieces, through a first table that is given and two generations of remembered pieces.
 
@@ -91,18 +71,10 @@ class Remembered:
         self.tokenizer.no_padding()
         self.specials = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         vocabulary = self.tokenizer.get_vocab()
-        #: Either a word's last token shows by its ending, or its first by the space it begins with.
-        self.ends = any(t.endswith("</w>") for t in vocabulary)
+        #: A word's first token shows by the space it begins with.
         self.marked = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.marked[[i for t, i in vocabulary.items() if (t.endswith("</w>") if self.ends else t.startswith("\u0120"))]] = True
+        self.marked[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
         self.values = values
-        # For words of letters in normal form and lower case, what cuts and changes texts has nothing to do.
-        self.plain = Tokenizer.from_file(path)
-        self.plain.no_truncation()
-        self.plain.no_padding()
-        if self.ends:
-            self.plain.normalizer = normalizers.Sequence([])
-            self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.first = first or {}
         self.young: dict = dict(self.first)
         self.old: dict = {}
@@ -111,29 +83,21 @@ class Remembered:
         return [self.values(e.ids, [0, len(e.ids)])[0] for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
     def encode_words(self, words: list[str]) -> list:
-        """Of words of letters alone, with a space before each unless ends are marked: one text for many, cut again at the marks."""
+        """Of words of letters alone, with a space before each: one text for many, cut again at the marks."""
         out = []
         for k in range(0, len(words), 2000):
             some = words[k : k + 2000]
-            text = " ".join(some).lower() if self.ends else "".join(some)
-            ids = self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids
+            ids = self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids
             at = np.flatnonzero(self.marked[ids]).tolist()
-            if len(at) == len(some) and self.ends:
-                cuts = [0, *(a + 1 for a in at)]
-            elif len(at) == len(some) and at[0] == 0:
-                cuts = [*at, len(ids)]
+            if len(at) == len(some) and at[0] == 0:
+                out += self.values(ids, [*at, len(ids)])
             else:
                 out += self.encode(some)
-                continue
-            out += self.values(ids, cuts)
         return out
 
     def _word(self, piece: str) -> str:
         """The piece without punctuation at its end, if letters are left; else nothing."""
         word = piece.rstrip(_AFTER)
-        if self.ends:
-            # Letters that normal form and lower case leave as letters, one for one, wherever they stand.
-            return word if word.isalpha() and (word.isascii() or not _CHANGING.search(word)) else ""
         return word if word[:1] == " " and word[1:].isalpha() else ""
 
     def lookup(self, cut: list[list[str]], combine=list) -> list:

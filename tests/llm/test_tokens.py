@@ -4,28 +4,56 @@ import zlib
 from collections import defaultdict
 
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from tokenizers import Tokenizer
 
-from sayplace.llm import tokenizer as module
+from sayplace.llm import tokenizer, word_ids
 from sayplace.llm.packing import pack, pattern, plan
 from sayplace.llm.token_count import token_counts
-from sayplace.llm.tokenizer import Remembered, byte_level_pieces, counted, packed, word_pieces
+from sayplace.llm.tokenizer import Remembered, byte_level_pieces, counted
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
-BITS = ["a", "B", "é", "É", " ", "  ", "\n", "\t", "'s", "'", "1", "23", "!", "<|endoftext|>", "<|startoftext|>", "Σ", "İ", "中", "e\u0301", "\u0301", "\x1c", "\x85", "\u200b", "ß", " \n", "_", "—", "🙂", "\0", ".", ",", "\u0958", "²", " the", " of,"]
+BITS = ["a", "B", "é", "É", " ", "  ", "\n", "\t", "'s", "'", "1", "23", "!", "<|endoftext|>", "<|startoftext|>", "Σ", "İ", "中", "e\u0301", "\u0301", "\x1c", "\x85", "\u200b", "ß", " \n", "_", "—", "🙂", "\0", ".", ",", "\u0958", "²", " the", " of,", "ı", "Ŀ", "ŉ", "ǅ", "ª", "µ", "x;", "...", "<|ENDOFTEXT|>"]
 
 
-@pytest.mark.parametrize("path, cut", [(BYTES, byte_level_pieces), (WORDS, lambda t, _: word_pieces(t))])
-def test_pieces_are_exact(path, cut, monkeypatch):
+def nasty(rng):
+    return ["".join(rng.choice(BITS) for _ in range(rng.randrange(15))) for _ in range(20)] + ["x" * 100 + " y", ""]
+
+
+def test_pieces_are_exact(monkeypatch):
     """Texts put together from pieces have the library's ids, also while the caches turn over."""
-    monkeypatch.setattr(module, "CACHE_PIECES", 500)
-    library, own, rng = Tokenizer.from_file(path), Remembered(path, packed), random.Random(3)
+    monkeypatch.setattr(tokenizer, "CACHE_PIECES", 500)
+    library, rng = Tokenizer.from_file(BYTES), random.Random(3)
+    own = Remembered(BYTES, lambda ids, cuts: [tuple(ids[a:b]) for a, b in zip(cuts, cuts[1:])])
+    for _ in range(300):
+        texts = nasty(rng)
+        for t, values in zip(texts, own.lookup([byte_level_pieces(t, own.specials) for t in texts])):
+            assert [i for v in values for i in v] == library.encode(t, add_special_tokens=False).ids, t
+
+
+@pytest.mark.parametrize("words", [500, 400_000])
+def test_word_ids_are_exact(monkeypatch, words):
+    monkeypatch.setattr(word_ids, "CACHE_WORDS", words)
+    monkeypatch.setattr(word_ids, "JOINED", 7)
+    library, own, rng = Tokenizer.from_file(WORDS), word_ids.WordIds(WORDS), random.Random(3)
     for _ in range(300):
-        texts = ["".join(rng.choice(BITS) for _ in range(rng.randrange(15))) for _ in range(20)] + ["x" * 100 + " y"]
-        for t, values in zip(texts, own.lookup([cut(t, own.specials) for t in texts])):
-            ids = library.encode(t, add_special_tokens=False).ids
-            assert b"".join(values) == struct.pack(f"<{len(ids)}I", *ids), t
+        texts = nasty(rng)
+        ids, bounds = own.lookup(texts)
+        assert len(bounds) == len(texts) + 1
+        for t, a, b in zip(texts, bounds, bounds[1:]):
+            assert ids[a:b].tolist() == library.encode(t, add_special_tokens=False).ids, t
+    assert len(own.numbers) <= words + 500 and all(len(w) <= 60 for w in own.numbers)
+    ids, bounds = own.lookup([])
+    assert len(ids) == 0 and bounds.tolist() == [0]
+
+
+def test_white_space_is_one_thing():
+    """What cuts texts into pieces here agrees with the language's own, for every character."""
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    cut = pc.list_value_length(pc.utf8_split_whitespace(pa.array([f"a{c}b" for c in points]))).to_pylist()
+    assert cut == [len(f"a{c}b".split()) for c in points]
 
 
 def test_counts(odd_documents):
