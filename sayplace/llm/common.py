@@ -11,11 +11,17 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where the setting is unset, as in tests."""
+    """The folder all executors share (spark.checkpoint.dir).
+
+    Where the setting is unset, a local session gets a temporary folder, as in tests; on a cluster it is an
+    error, as each machine would write to a disk of its own.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="sayplace-")
         spark.sparkContext.setCheckpointDir(base)
     return base
@@ -79,15 +85,19 @@ def gapless(staged: DataFrame, group: list[str], bucket: str, order: list[str],
         out, (F.col("_start") + F.col("_rank") - 1).cast("long")).drop("_start", "_rank")
 
 
-FILTER_BITS = 1 << 25
+#: The least and the most bits of a filter: half a megabyte and 32. In between, eight for each key.
+FILTER_LEAST, FILTER_MOST = 1 << 22, 1 << 28
 
 
-def key_filter(keys: DataFrame, column: str, bits: int = FILTER_BITS, hashed: bool = False):
-    """A bitmap of fixed size (4 MB) over xxhash64 of a column, or over the column if it is a hash already.
+def key_filter(keys: DataFrame, column: str, hashed: bool = False):
+    """A broadcast bitmap over xxhash64 of a column, or over the column if it is a hash already. keys is read twice.
 
-    It never misses a key and may admit others. Its size doesn't depend on the keys; with very many keys
-    it admits more, which costs time and not results.
+    It never misses a key and may admit others. It has bits enough for its keys up to a fixed size; beyond
+    that it admits more, which costs time and not results.
     """
+    bits = FILTER_LEAST
+    while bits < min(FILTER_MOST, 8 * keys.count()):
+        bits *= 2
     at = F.pmod(F.col(column) if hashed else F.xxhash64(F.col(column)), F.lit(bits))
     words = keys.select(at.alias("_at")).select(
         (F.col("_at") / 64).cast("int").alias("w"), F.expr("shiftleft(1L, cast(_at % 64 as int))").alias("b"),
@@ -104,27 +114,43 @@ def admits(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
 
 
-def components(ws: Workspace, edges: DataFrame, rounds: int = 60) -> DataFrame:
+#: Keys that more rows have than this, or than one in so many of all rows, don't go to one task: there are HOT_SHARE of them at most.
+HOT_ROWS, HOT_SHARE = 512, 10_000
+
+
+def hot_join(rows: DataFrame, table: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """rows joined with table on a key, without a task that gets all rows of a hot one.
+
+    table: has a column n, the number of rows that have its key; total: the number of rows. The hot keys'
+    part of the table is broadcast; there are HOT_SHARE such keys at most, whatever the data.
+    """
+    limit = max(HOT_ROWS, total // HOT_SHARE)
+    hot = F.broadcast(table.filter(F.col(n) > limit))
+    rest = rows.join(F.broadcast(hot.select(key).distinct()), key, "left_anti")
+    return rows.join(hot, key).unionByName(rest.join(table.filter(F.col(n) <= limit), key))
+
+
+def components(ws: Workspace, edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b), a != b: rows (node, root), root the smallest id reachable.
 
-    Large-star and small-star steps in turn, each a pair of map-side combined aggregations over a
-    table in the shared folder; the count of rounds follows the logarithm of the component's size.
-    A node of many edges is never gathered: only minima are taken.
+    Large-star and small-star steps in turn, each a map-side combined aggregation and a join over a table
+    in the shared folder, until nothing changes; the count of rounds follows the logarithm of the
+    component's size. A node of many edges isn't gathered: only minima are taken, and hot nodes' minima
+    are broadcast.
     """
     current = ws.write(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    last = None
-    for _ in range(rounds):
+    last, total = None, current.count()
+    while True:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = ws.write(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n")))
+        large = hot_join(both, least, "a", "n", 2 * total).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = ws.write(large.filter("a != b").distinct())
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = ws.write(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")))
+        small = hot_join(large, low, "a", "n", 2 * total).filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = ws.write(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
         state = after.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))")).first()
-        ws.drop(current, large)
-        current = after
+        ws.drop(current, large, least, low)
+        current, total = after, state[0]
         if state == last:
             return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
         last = state
-    raise RuntimeError("components did not settle")

@@ -83,7 +83,7 @@ def exact_dedup(df: DataFrame, key: str, text: str, salts: int = SALTS, digest_b
     source = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     salted = source.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
     narrow = ws.write(source.mapInArrow(_digests(digest_bytes), "id long, digest binary, sha string"))
-    many = narrow.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest")
+    many = ws.write(narrow.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest"))
 
     def contents(digests: DataFrame) -> DataFrame:
         return salted.mapInArrow(_contents(digest_bytes, key_filter(digests, "digest")), "digest binary, salt int, content binary, top long, n long")

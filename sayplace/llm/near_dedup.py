@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sayplace.llm.common import FILTER_BITS, Workspace, admits, bound_batches, components, key_filter
+from sayplace.llm.common import Workspace, admits, bound_batches, components, hot_join, key_filter
 
 #: Values a sketch retains, and standard deviations of doubt that estimates allow for: a pair at the
 #: threshold is missed with a chance of about one in ten million. Sets of no more values are kept whole,
@@ -20,9 +20,11 @@ from sayplace.llm.common import FILTER_BITS, Workspace, admits, bound_batches, c
 SKETCH, DOUBT = 128, 5.5
 #: Counters for the common order of values; a fixed number, so the broadcast has a fixed size (1 MB).
 #: Any order that all sets share gives right results; a true one gives fewer candidates.
-COUNTERS = 1 << 18
+COUNTERS, COUNTER_SHIFT = 1 << 18, 30
 #: Leaders each list compares all its members with; and shingles of the sets that one task compares at a time.
 LEADERS, BLOCK = 4, 500_000
+#: Values of each sketch that go with a pair for the estimate. Fewer make it wider and lose nothing.
+ESTIMATE = 32
 SALTS = 16
 NULL_ID = -(1 << 63)
 
@@ -93,15 +95,25 @@ def union_estimate(a: np.ndarray, b: np.ndarray, k: int = SKETCH) -> float:
     return float(np.searchsorted(twice, union[-1], "right")) / len(union)
 
 
-def similar(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
-    """Estimate first; then the exact Jaccard similarity of the whole sets, in integers: inter / union >= threshold."""
+def whole_percent(threshold: float) -> int:
+    """The threshold in hundredths, by which sets are compared in whole numbers."""
     percent = round(threshold * 100)
-    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-        return False
-    if union_estimate(a, b) < shared_at_least(len(a), len(b), threshold) / min(SKETCH, (len(a) + len(b)) / (1 + threshold)) - 1e-9:
+    if abs(threshold * 100 - percent) > 1e-9 or not 0 < percent <= 100:
+        raise ValueError("a threshold of whole hundredths")
+    return percent
+
+
+def likely(a: np.ndarray, b: np.ndarray, n: int, m: int, threshold: float) -> bool:
+    """Whether two sets of n and m elements may have the threshold, from their sketches: by their sizes, then by the union's estimate."""
+    if 100 * min(n, m) < whole_percent(threshold) * max(n, m):
         return False
+    return union_estimate(a, b, ESTIMATE) >= shared_at_least(n, m, threshold, ESTIMATE) / min(ESTIMATE, (n + m) / (1 + threshold)) - 1e-9
+
+
+def similar(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
+    """The exact Jaccard similarity of whole sets, in integers: inter / union >= threshold."""
     inter = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * inter >= percent * (len(a) + len(b) - inter)
+    return 100 * inter >= whole_percent(threshold) * (len(a) + len(b) - inter)
 
 
 _LONGS = pa.list_(pa.int64())
@@ -118,13 +130,16 @@ def _unlists(column: pa.ListArray) -> list[np.ndarray]:
     return [values[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
 
 
+def _digest_column(sets: list[np.ndarray]) -> pa.Array:
+    return pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
+
+
 def _sketches(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t, size) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), _lists([s[:SKETCH] for s in sets])],
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), _digest_column(sets), _lists([s[:SKETCH] for s in sets])],
                 names=["id", "n", "digest", "sketch"])
 
     return run
@@ -132,7 +147,7 @@ def _sketches(size: int):
 
 def _bucket(values: np.ndarray) -> np.ndarray:
     """The counter of each value: bits that the filter of values doesn't use."""
-    return (values >> np.uint64(FILTER_BITS.bit_length() - 1) & np.uint64(COUNTERS - 1)).astype(np.int64)
+    return (values >> np.uint64(COUNTER_SHIFT) & np.uint64(COUNTERS - 1)).astype(np.int64)
 
 
 def _entries(threshold: float, order, shared):
@@ -167,7 +182,19 @@ def _sets(size: int, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(admits(wanted.value, batch.column(2).to_numpy())))
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists([shingle_set(t, size) for t in batch.column(1).to_pylist()])], names=["id", "shingles"])
+            sets = [shingle_set(t, size) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), _digest_column(sets), _lists(sets)], names=["id", "digest", "shingles"])
+
+    return run
+
+
+def _admitted(wanted):
+    """Rows whose hash, the last column, the filter admits, without it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            last = batch.num_columns - 1
+            yield batch.filter(pa.array(admits(wanted.value, batch.column(last).to_numpy()))).select(list(range(last)))
 
     return run
 
@@ -182,6 +209,18 @@ def _doubted(others):
     return run
 
 
+def _estimated(threshold: float):
+    """Pairs whose sketches say that they may be similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sketches = zip(_unlists(batch.column("sa")), _unlists(batch.column("sb")), batch.column("na").to_pylist(), batch.column("nb").to_pylist())
+            yes = pa.array([likely(a, b, n, m, threshold) for a, b, n, m in sketches], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(yes), batch.column("b").filter(yes)], names=["a", "b"])
+
+    return run
+
+
 def _verified(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,7 +232,7 @@ def _verified(threshold: float):
 
 def _compared(threshold: float):
     """Links between a block's queries and its other sets, by an inverted index of the queries' values."""
-    percent = round(threshold * 100)
+    percent = whole_percent(threshold)
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -226,7 +265,7 @@ def _compared(threshold: float):
     return run
 
 
-def _rest(ws: Workspace, placed: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def _rest(ws: Workspace, placed: DataFrame, sets_of, threshold: float) -> DataFrame:
     """Links that the leaders left, exactly: members outside their list's largest part against all members of their lists.
 
     The outsiders are dealt into blocks of so many shingles, those of a list together, since what they
@@ -250,44 +289,63 @@ def _rest(ws: Workspace, placed: DataFrame, sets: DataFrame, threshold: float) -
     split = ws.write(split)
     asked = met.join(split, "block").select("block", F.pmod(F.xxhash64("id"), F.col("splits")).alias("split"), "id", "root", F.lit(False).alias("query"))
     asking = blocks.join(split, "block").select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("splits") - 1)).alias("split"), "id", "root", F.lit(True).alias("query"))
-    rows = asked.unionByName(asking).join(sets, "id")
+    rows = asked.unionByName(asking)
+    rows = rows.join(sets_of(rows), "id")
     return ws.write(rows.groupBy("block", "split").applyInArrow(_compared(threshold), "a long, b long").distinct())
 
 
 def _links(ws: Workspace, source: DataFrame, reps: DataFrame, size: int, threshold: float) -> DataFrame:
     """Verified links (a, b) between representatives of equal sets, enough of them to connect all that are similar."""
     spark = reps.sparkSession
-    percent = round(threshold * 100)
+    percent = whole_percent(threshold)
     several = reps.select(F.explode("sketch").alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     several = ws.write(several)
-    bucket = F.shiftrightunsigned("value", FILTER_BITS.bit_length() - 1).bitwiseAND(F.lit(COUNTERS - 1))
+    bucket = F.shiftrightunsigned("value", COUNTER_SHIFT).bitwiseAND(F.lit(COUNTERS - 1))
     table = several.groupBy(bucket.alias("bucket")).agg(F.max("m").alias("m")).toPandas()
     counts = np.zeros(COUNTERS, np.int32)
     counts[table["bucket"].to_numpy(np.int64)] = np.minimum(table["m"].to_numpy(np.int64), np.iinfo(np.int32).max)
     order, shared = spark.sparkContext.broadcast(counts), key_filter(several, "value", hashed=True)
-    entries = ws.write(reps.select("id", "n", "sketch").mapInArrow(_entries(threshold, order, shared), "value long, id long, n long, own double"))
-    sizes = entries.groupBy("value").agg(F.count(F.lit(1)).alias("m"))
-    entries = ws.write(entries.join(sizes.filter("m > 1"), "value").select("value", "id", "n", "own"))
-    needed = entries.select("id").distinct()
-    sets = source.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(_sets(size, key_filter(needed, "id")), "id long, shingles array<long>")
-    sets = ws.write(sets.join(needed, "id", "left_semi").dropDuplicates(["id"]))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        rows = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(
-            sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-        return rows.select("a", "b", "sa", "sb").mapInArrow(_verified(threshold), "a long, b long")
-
+    listed = ws.write(reps.select("id", "n", "sketch").mapInArrow(_entries(threshold, order, shared), "value long, id long, n long, own double"))
+    sizes = ws.write(listed.groupBy("value").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"))
+    entries = ws.write(hot_join(listed, sizes, "value", "m", listed.count()).select("value", "id", "n", "own"))
+    ws.drop(listed, several)
     # Leaders: the sets in the middle of their like, which most others are similar to.
     few = F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt")
-    tops = entries.groupBy("value", few).agg(F.min(F.struct("own", "id", "n")).alias("l")).groupBy("value").agg(
-        F.slice(F.sort_array(F.collect_list("l")), 1, LEADERS).alias("leaders"))
-    leaders = tops.select("value", F.explode("leaders").alias("l")).select("value", F.col("l.id").alias("leader"), F.col("l.n").alias("m"))
-    met = entries.join(leaders, "value").filter("id != leader").filter(f"100 * least(n, m) >= {percent} * greatest(n, m)")
-    pairs = ws.write(met.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct())
-    found = ws.write(verify(pairs))
+    tops = entries.groupBy("value", few).agg(F.min(F.struct("own", "id", "n")).alias("l"), F.count(F.lit(1)).alias("m")).groupBy("value").agg(
+        F.slice(F.sort_array(F.collect_list("l")), 1, LEADERS).alias("leaders"), F.sum("m").alias("m"))
+    leaders = ws.write(tops.select("value", "m", F.explode("leaders").alias("l")).select("value", "m", F.col("l.id").alias("leader"), F.col("l.n").alias("nl")))
+    met = hot_join(entries, leaders, "value", "m", entries.count()).filter("id != leader").filter(f"100 * least(n, nl) >= {percent} * greatest(n, nl)")
+    # A pair's overlap: how many retained values list both.
+    overlaps = met.groupBy(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).agg(F.count(F.lit(1)).alias("overlap"))
+    pairs = ws.write(overlaps.select("a", "b", "overlap"))
+    # The union of sketches is estimated first; whole sets are made for what is left, and for what _rest compares.
+    many = pairs.count()
+    paired = ws.write(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    short = reps.select("id", "n", F.slice("sketch", 1, ESTIMATE).alias("sketch"), F.xxhash64("id").alias("h"))
+    short = ws.write(short.mapInArrow(_admitted(key_filter(paired, "id")), "id long, n long, sketch array<long>"))
+    rows = pairs.select("a", "b")
+    for end in "ab":
+        count = pairs.groupBy(end).agg(F.count(F.lit(1)).alias("k"))
+        sketch = short.select(F.col("id").alias(end), F.col("n").alias(f"n{end}"), F.col("sketch").alias(f"s{end}"))
+        rows = hot_join(rows, ws.write(sketch.join(count, end)), end, "k", many).drop("k")
+    likely_pairs = ws.write(rows.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_estimated(threshold), "a long, b long").distinct())
+
+    def sets_of(needed: DataFrame) -> DataFrame:
+        """Rows (id, shingles): the whole sets of these ids; an id that repeats with other texts has several."""
+        needed = ws.write(needed.select("id").distinct())
+        made = source.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(_sets(size, key_filter(needed, "id")), "id long, digest binary, shingles array<long>")
+        return ws.write(made.join(needed, "id", "left_semi").dropDuplicates(["id", "digest"]).select("id", "shingles"))
+
+    sets = sets_of(likely_pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    whole = likely_pairs
+    for end in "ab":
+        count = likely_pairs.groupBy(end).agg(F.count(F.lit(1)).alias("k"))
+        one = sets.select(F.col("id").alias(end), F.col("shingles").alias(f"s{end}")).join(count, end)
+        whole = hot_join(whole, ws.write(one), end, "k", many).drop("k")
+    found = ws.write(whole.select("a", "b", "sa", "sb").mapInArrow(_verified(threshold), "a long, b long").distinct())
     roots = components(ws, found)
     placed = ws.write(entries.join(roots.withColumnRenamed("node", "id"), "id", "left").select("value", "id", "n", F.coalesce("root", "id").alias("root")))
-    return found.unionByName(_rest(ws, placed, sets, threshold))
+    return found.unionByName(_rest(ws, placed, sets_of, threshold))
 
 
 def near_dedup(df: DataFrame, key: str, text: str, size: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -306,8 +364,9 @@ def near_dedup(df: DataFrame, key: str, text: str, size: int = 5, threshold: flo
        one set, by a bitmap, then by a table of counts; both of fixed size, from counts over all sketches),
        and only a prefix is listed, which loses no pair of the threshold but for the chance given by
        DOUBT. Values of one set need no list, so a document that shares little has no entries at all.
-    3. Each list compares its members with a few leaders, estimates from the union of sketches first, then
-       whole sets; links join components. Members that are still outside their list's largest component
+    3. Each list pairs its members with a few leaders; a pair's overlap is the number of lists that have
+       both. The union of the two sketches estimates the similarity first, and whole sets are made and
+       compared only for pairs that it leaves; links join components. Members that are still outside their list's largest component
        are compared with all of the list, in blocks, by whole sets. So a group of near copies costs a few
        comparisons a member, and nothing is capped.
     """
@@ -329,7 +388,10 @@ def near_dedup(df: DataFrame, key: str, text: str, size: int = 5, threshold: flo
     reps = ws.write(rows.filter("not doubtful").unionByName(doubtful).drop("doubtful"))
     ws.drop(sketched)
     links = _links(ws, source, reps, size, threshold)
-    roots = components(ws, links)
+    # An id that repeats with other texts is in several classes, which it joins.
+    several = members.filter("n > 0").groupBy("id").agg(F.min("cid").alias("first"), F.max("cid").alias("last")).filter("first != last")
+    again = members.filter("n > 0").join(several, "id").filter("cid != first").select(F.col("cid").alias("a"), F.col("first").alias("b"))
+    roots = components(ws, links.unionByName(again))
     # A class of a third of all rows: its one root is copied to each salt.
     salted = members.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
     to = roots.select(F.col("node").alias("cid"), "root", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
