@@ -130,16 +130,12 @@ def _unlists(column: pa.ListArray) -> list[np.ndarray]:
     return [values[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
 
 
-def _digest_column(sets: list[np.ndarray]) -> pa.Array:
-    return pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
-
-
 def _sketches(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t, size) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), _digest_column(sets), _lists([s[:SKETCH] for s in sets])],
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), _lists([s[:SKETCH] for s in sets])],
                 names=["id", "n", "digest", "sketch"])
 
     return run
@@ -182,8 +178,7 @@ def _sets(size: int, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(admits(wanted.value, batch.column(2).to_numpy())))
-            sets = [shingle_set(t, size) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), _digest_column(sets), _lists(sets)], names=["id", "digest", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists([shingle_set(t, size) for t in batch.column(1).to_pylist()])], names=["id", "shingles"])
 
     return run
 
@@ -306,15 +301,14 @@ def _links(ws: Workspace, source: DataFrame, reps: DataFrame, size: int, thresho
     counts[table["bucket"].to_numpy(np.int64)] = np.minimum(table["m"].to_numpy(np.int64), np.iinfo(np.int32).max)
     order, shared = spark.sparkContext.broadcast(counts), key_filter(several, "value", hashed=True)
     listed = ws.write(reps.select("id", "n", "sketch").mapInArrow(_entries(threshold, order, shared), "value long, id long, n long, own double"))
-    sizes = ws.write(listed.groupBy("value").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"))
-    entries = ws.write(hot_join(listed, sizes, "value", "m", listed.count()).select("value", "id", "n", "own"))
-    ws.drop(listed, several)
-    # Leaders: the sets in the middle of their like, which most others are similar to.
+    # Leaders of each list of several sets: those in the middle of their like, which most others are similar to.
     few = F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt")
-    tops = entries.groupBy("value", few).agg(F.min(F.struct("own", "id", "n")).alias("l"), F.count(F.lit(1)).alias("m")).groupBy("value").agg(
-        F.slice(F.sort_array(F.collect_list("l")), 1, LEADERS).alias("leaders"), F.sum("m").alias("m"))
-    leaders = ws.write(tops.select("value", "m", F.explode("leaders").alias("l")).select("value", "m", F.col("l.id").alias("leader"), F.col("l.n").alias("nl")))
-    met = hot_join(entries, leaders, "value", "m", entries.count()).filter("id != leader").filter(f"100 * least(n, nl) >= {percent} * greatest(n, nl)")
+    tops = listed.groupBy("value", few).agg(F.min(F.struct("own", "id", "n")).alias("l"), F.count(F.lit(1)).alias("m")).groupBy("value").agg(
+        F.slice(F.sort_array(F.collect_list("l")), 1, LEADERS).alias("leaders"), F.sum("m").alias("m")).filter("m > 1")
+    lists = ws.write(tops.select("value", "m", F.transform("leaders", lambda l: F.struct(l["id"].alias("leader"), l["n"].alias("nl"))).alias("leaders")))
+    entries = ws.write(hot_join(listed.select("value", "id", "n"), lists, "value", "m", listed.count()).select("value", "id", "n", "leaders"))
+    ws.drop(listed, several)
+    met = entries.select("id", "n", F.explode("leaders").alias("l")).select("id", "n", "l.leader", "l.nl").filter("id != leader").filter(f"100 * least(n, nl) >= {percent} * greatest(n, nl)")
     # A pair's overlap: how many retained values list both.
     overlaps = met.groupBy(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).agg(F.count(F.lit(1)).alias("overlap"))
     pairs = ws.write(overlaps.select("a", "b", "overlap"))
@@ -331,10 +325,10 @@ def _links(ws: Workspace, source: DataFrame, reps: DataFrame, size: int, thresho
     likely_pairs = ws.write(rows.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_estimated(threshold), "a long, b long").distinct())
 
     def sets_of(needed: DataFrame) -> DataFrame:
-        """Rows (id, shingles): the whole sets of these ids; an id that repeats with other texts has several."""
+        """Rows (id, shingles): whole sets, those of these ids among them; an id that repeats has several."""
         needed = ws.write(needed.select("id").distinct())
-        made = source.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(_sets(size, key_filter(needed, "id")), "id long, digest binary, shingles array<long>")
-        return ws.write(made.join(needed, "id", "left_semi").dropDuplicates(["id", "digest"]).select("id", "shingles"))
+        made = source.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(_sets(size, key_filter(needed, "id")), "id long, shingles array<long>")
+        return ws.write(made)
 
     sets = sets_of(likely_pairs.select(F.explode(F.array("a", "b")).alias("id")))
     whole = likely_pairs
