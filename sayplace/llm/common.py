@@ -114,20 +114,22 @@ def admits(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
 
 
-#: Keys that more rows have than this, or than one in so many of all rows, don't go to one task: there are HOT_SHARE of them at most.
+#: The rows of a key go to one task up to so many, or up to one in HOT_SHARE of all rows; beyond that to several.
 HOT_ROWS, HOT_SHARE = 512, 10_000
 
 
-def hot_join(rows: DataFrame, table: DataFrame, key: str, n: str, total: int) -> DataFrame:
+def hot_join(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame, n: str, total: int) -> DataFrame:
     """rows joined with table on a key, without a task that gets all rows of a hot one.
 
-    table: has a column n, the number of rows that have its key; total: the number of rows. The hot keys'
-    part of the table is broadcast; there are HOT_SHARE such keys at most, whatever the data.
+    counts: the number n of rows of each key; total: the number of all. A hot key's rows are dealt over
+    as many salts as they need, and the table's row of it is copied to these: the copies are 2 * HOT_SHARE
+    at most, whatever the data, and the hot keys, which are broadcast, HOT_SHARE.
     """
     limit = max(HOT_ROWS, total // HOT_SHARE)
-    hot = F.broadcast(table.filter(F.col(n) > limit))
-    rest = rows.join(F.broadcast(hot.select(key).distinct()), key, "left_anti")
-    return rows.join(hot, key).unionByName(rest.join(table.filter(F.col(n) <= limit), key))
+    hot = F.broadcast(counts.filter(F.col(n) > limit).select(key, F.ceil(F.col(n) / limit).alias("_copies")))
+    dealt = rows.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.coalesce("_copies", F.lit(1).cast("long")))).drop("_copies")
+    copied = table.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_copies", F.lit(1)) - 1))).drop("_copies")
+    return dealt.join(copied, [key, "_salt"]).drop("_salt")
 
 
 def components(ws: Workspace, edges: DataFrame) -> DataFrame:
@@ -135,18 +137,18 @@ def components(ws: Workspace, edges: DataFrame) -> DataFrame:
 
     Large-star and small-star steps in turn, each a map-side combined aggregation and a join over a table
     in the shared folder, until nothing changes; the count of rounds follows the logarithm of the
-    component's size. A node of many edges isn't gathered: only minima are taken, and hot nodes' minima
-    are broadcast.
+    component's size. A node of many edges isn't gathered: only minima are taken, and hot nodes' edges
+    meet theirs in several tasks.
     """
     current = ws.write(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     last, total = None, current.count()
     while True:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = ws.write(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n")))
-        large = hot_join(both, least, "a", "n", 2 * total).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = hot_join(both, least.drop("n"), "a", least, "n", 2 * total).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = ws.write(large.filter("a != b").distinct())
         low = ws.write(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")))
-        small = hot_join(large, low, "a", "n", 2 * total).filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = hot_join(large, low.drop("n"), "a", low, "n", 2 * total).filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = ws.write(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
         state = after.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))")).first()
         ws.drop(current, large, least, low)

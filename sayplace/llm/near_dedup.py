@@ -23,8 +23,6 @@ SKETCH, DOUBT = 128, 5.5
 COUNTERS, COUNTER_SHIFT = 1 << 18, 30
 #: Leaders each list compares all its members with; and shingles of the sets that one task compares at a time.
 LEADERS, BLOCK = 4, 500_000
-#: Values of each sketch that go with a pair for the estimate. Fewer make it wider and lose nothing.
-ESTIMATE = 32
 SALTS = 16
 NULL_ID = -(1 << 63)
 
@@ -107,7 +105,7 @@ def likely(a: np.ndarray, b: np.ndarray, n: int, m: int, threshold: float) -> bo
     """Whether two sets of n and m elements may have the threshold, from their sketches: by their sizes, then by the union's estimate."""
     if 100 * min(n, m) < whole_percent(threshold) * max(n, m):
         return False
-    return union_estimate(a, b, ESTIMATE) >= shared_at_least(n, m, threshold, ESTIMATE) / min(ESTIMATE, (n + m) / (1 + threshold)) - 1e-9
+    return union_estimate(a, b) >= shared_at_least(n, m, threshold) / min(SKETCH, (n + m) / (1 + threshold)) - 1e-9
 
 
 def similar(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
@@ -219,8 +217,8 @@ def _estimated(threshold: float):
 def _verified(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yes = [similar(a, b, threshold) for a, b in zip(_unlists(batch.column(2)), _unlists(batch.column(3)))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(yes, pa.bool_())), batch.column(1).filter(pa.array(yes, pa.bool_()))], names=["a", "b"])
+            yes = [similar(a, b, threshold) for a, b in zip(_unlists(batch.column("sa")), _unlists(batch.column("sb")))]
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(yes, pa.bool_())), batch.column("b").filter(pa.array(yes, pa.bool_()))], names=["a", "b"])
 
     return run
 
@@ -289,8 +287,8 @@ def _rest(ws: Workspace, placed: DataFrame, sets_of, threshold: float) -> DataFr
     return ws.write(rows.groupBy("block", "split").applyInArrow(_compared(threshold), "a long, b long").distinct())
 
 
-def _links(ws: Workspace, source: DataFrame, reps: DataFrame, size: int, threshold: float) -> DataFrame:
-    """Verified links (a, b) between representatives of equal sets, enough of them to connect all that are similar."""
+def _links(ws: Workspace, source: DataFrame, reps: DataFrame, size: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Verified links (a, b) between representatives of equal sets, enough of them to connect all that are similar: those with leaders, all others, and the components of the former."""
     spark = reps.sparkSession
     percent = whole_percent(threshold)
     several = reps.select(F.explode("sketch").alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
@@ -306,23 +304,27 @@ def _links(ws: Workspace, source: DataFrame, reps: DataFrame, size: int, thresho
     tops = listed.groupBy("value", few).agg(F.min(F.struct("own", "id", "n")).alias("l"), F.count(F.lit(1)).alias("m")).groupBy("value").agg(
         F.slice(F.sort_array(F.collect_list("l")), 1, LEADERS).alias("leaders"), F.sum("m").alias("m")).filter("m > 1")
     lists = ws.write(tops.select("value", "m", F.transform("leaders", lambda l: F.struct(l["id"].alias("leader"), l["n"].alias("nl"))).alias("leaders")))
-    entries = ws.write(hot_join(listed.select("value", "id", "n"), lists, "value", "m", listed.count()).select("value", "id", "n", "leaders"))
+    entries = ws.write(hot_join(listed.select("value", "id", "n"), lists.select("value", "leaders"), "value", lists, "m", listed.count()))
     ws.drop(listed, several)
     met = entries.select("id", "n", F.explode("leaders").alias("l")).select("id", "n", "l.leader", "l.nl").filter("id != leader").filter(f"100 * least(n, nl) >= {percent} * greatest(n, nl)")
     # A pair's overlap: how many retained values list both.
     overlaps = met.groupBy(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).agg(F.count(F.lit(1)).alias("overlap"))
     pairs = ws.write(overlaps.select("a", "b", "overlap"))
     # The union of sketches is estimated first; whole sets are made for what is left, and for what _rest compares.
-    many = pairs.count()
     paired = ws.write(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    short = reps.select("id", "n", F.slice("sketch", 1, ESTIMATE).alias("sketch"), F.xxhash64("id").alias("h"))
-    short = ws.write(short.mapInArrow(_admitted(key_filter(paired, "id")), "id long, n long, sketch array<long>"))
-    rows = pairs.select("a", "b")
-    for end in "ab":
-        count = pairs.groupBy(end).agg(F.count(F.lit(1)).alias("k"))
-        sketch = short.select(F.col("id").alias(end), F.col("n").alias(f"n{end}"), F.col("sketch").alias(f"s{end}"))
-        rows = hot_join(rows, ws.write(sketch.join(count, end)), end, "k", many).drop("k")
-    likely_pairs = ws.write(rows.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_estimated(threshold), "a long, b long").distinct())
+    sketches = reps.select("id", "n", "sketch", F.xxhash64("id").alias("h")).mapInArrow(_admitted(key_filter(paired, "id")), "id long, n long, sketch array<long>")
+
+    def with_ends(pairs: DataFrame, table: DataFrame, **columns: str) -> DataFrame:
+        """Pairs with columns of the table for either end."""
+        many = pairs.count()
+        out = pairs
+        for end in "ab":
+            own = table.select(F.col("id").alias(end), *(F.col(c).alias(f"{name}{end}") for name, c in columns.items()))
+            out = hot_join(out, own, end, pairs.groupBy(end).agg(F.count(F.lit(1)).alias("k")), "k", many)
+        return out.select("a", "b", *(f"{name}{end}" for name in columns for end in "ab"))
+
+    rows = with_ends(pairs.select("a", "b"), sketches, n="n", s="sketch")
+    likely_pairs = ws.write(rows.mapInArrow(_estimated(threshold), "a long, b long").distinct())
 
     def sets_of(needed: DataFrame) -> DataFrame:
         """Rows (id, shingles): whole sets, those of these ids among them; an id that repeats has several."""
@@ -331,15 +333,11 @@ def _links(ws: Workspace, source: DataFrame, reps: DataFrame, size: int, thresho
         return ws.write(made)
 
     sets = sets_of(likely_pairs.select(F.explode(F.array("a", "b")).alias("id")))
-    whole = likely_pairs
-    for end in "ab":
-        count = likely_pairs.groupBy(end).agg(F.count(F.lit(1)).alias("k"))
-        one = sets.select(F.col("id").alias(end), F.col("shingles").alias(f"s{end}")).join(count, end)
-        whole = hot_join(whole, ws.write(one), end, "k", many).drop("k")
-    found = ws.write(whole.select("a", "b", "sa", "sb").mapInArrow(_verified(threshold), "a long, b long").distinct())
+    rows = with_ends(likely_pairs, sets, s="shingles")
+    found = ws.write(rows.mapInArrow(_verified(threshold), "a long, b long").distinct())
     roots = components(ws, found)
     placed = ws.write(entries.join(roots.withColumnRenamed("node", "id"), "id", "left").select("value", "id", "n", F.coalesce("root", "id").alias("root")))
-    return found.unionByName(_rest(ws, placed, sets_of, threshold))
+    return found, _rest(ws, placed, sets_of, threshold), roots
 
 
 def near_dedup(df: DataFrame, key: str, text: str, size: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -381,11 +379,13 @@ def near_dedup(df: DataFrame, key: str, text: str, size: int = 5, threshold: flo
     doubtful = rows.filter("doubtful").join(classes.select(F.col("cid").alias("id")).distinct(), "id", "left_semi")
     reps = ws.write(rows.filter("not doubtful").unionByName(doubtful).drop("doubtful"))
     ws.drop(sketched)
-    links = _links(ws, source, reps, size, threshold)
+    links, rest, roots = _links(ws, source, reps, size, threshold)
     # An id that repeats with other texts is in several classes, which it joins.
     several = members.filter("n > 0").groupBy("id").agg(F.min("cid").alias("first"), F.max("cid").alias("last")).filter("first != last")
     again = members.filter("n > 0").join(several, "id").filter("cid != first").select(F.col("cid").alias("a"), F.col("first").alias("b"))
-    roots = components(ws, links.unionByName(again))
+    more = ws.write(rest.unionByName(again))
+    if not more.isEmpty():
+        roots = components(ws, links.unionByName(more))
     # A class of a third of all rows: its one root is copied to each salt.
     salted = members.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
     to = roots.select(F.col("node").alias("cid"), "root", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
