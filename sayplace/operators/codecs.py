@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sayplace.functions.numbers import digits, div, hex_of, horner, settled, sha_mod
-from sayplace.operators import cells
+from sayplace.operators import cells, points
 from sayplace.operators.feistel import Feistel
 from sayplace.operators.mask import Grid, built_in_runs
 from sayplace.operators.vocabulary import Vocabulary, built_in, built_in_kinds
@@ -79,6 +79,16 @@ class World:
         return df.drop("_number", "_value", "_cell", *(f"_p{k}" for k in range(self.length)))
 
 
+    def encode_point(self, df: DataFrame, lat: str, lng: str, out: str = "words", cell: str = "cell") -> DataFrame:
+        """cell and out: the cell that holds a point and its words; null where there is no point."""
+        return self.encode(df.withColumn(cell, points.cell_at(F.col(lat), F.col(lng))), cell, out)
+
+    def decode_point(self, df: DataFrame, words: str, lat: str = "lat", lng: str = "lng", cell: str = "cell", status: str = "status") -> DataFrame:
+        """lat, lng: the centre of the cell that words name; null with any status but ok."""
+        df = self.decode(df, words, cell, status).withColumn("_centre", points.centre(F.col(cell)))
+        return df.withColumns({lat: F.col("_centre.lat"), lng: F.col("_centre.lng")}).drop("_centre")
+
+
 @dataclass(frozen=True)
 class Plane:
     """Three words for a square cell of the grid, and an optional number from 00 to 99: a quarter of the cell and a check."""
