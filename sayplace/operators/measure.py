@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sayplace.functions.numbers import settled
+from sayplace.functions.plane import Projection, great_circle
+from sayplace.operators.mask import HEIGHT, SIDE, SOUTH, WEST, WIDTH, Grid
 from sayplace.operators.vocabulary import Vocabulary
 
 
@@ -61,3 +64,31 @@ def sphere_point(key: Column) -> tuple[Column, Column]:
 def farthest(df: DataFrame, by: list[str], distance: str) -> DataFrame:
     """Rows (by..., radius): the greatest distance of each group, as from a centre to an outline's corners."""
     return df.groupBy(*by).agg(F.max(distance).alias("radius"))
+
+
+def mask_point(df: DataFrame, grid: Grid, rank: str, east: Column, north: Column, lat: str, lng: str) -> DataFrame:
+    """lat, lng: a point of the mask's square with this rank, east and north of its corner by these parts of its side. One broadcast join."""
+    squares = grid.table(df.sparkSession).select(F.col("rank").alias("_rank"), F.col("square").alias("_square"))
+    df = df.join(F.broadcast(squares), F.col(rank) == F.col("_rank"), "left")
+    x, y = WEST + (F.col("_square") % WIDTH + east) * SIDE, SOUTH + (F.expr(f"_square div {WIDTH}") + north) * SIDE
+    df = df.withColumns({"_x": settled(x), "_y": settled(y)})
+    to_lat, to_lng = grid.projection.to_sphere(F.col("_x"), F.col("_y"))
+    return df.withColumns({lat: settled(to_lat), lng: settled(to_lng)}).drop("_rank", "_square", "_x", "_y")
+
+
+def squareness(df: DataFrame, x: str, y: str, side: float, out: str, projection: Projection = Projection()) -> DataFrame:
+    """out: how far from 1 the ratio of the ground lengths of a cell's middle lines is, for a cell of this side about a point of the plane."""
+    half = side / 2
+    ends = {"w": (-half, 0), "e": (half, 0), "s": (0, -half), "n": (0, half)}
+    columns = {}
+    for name, (dx, dy) in ends.items():
+        columns[f"_{name}_lat"], columns[f"_{name}_lng"] = map(settled, projection.to_sphere(F.col(x) + dx, F.col(y) + dy))
+    df = df.withColumns(columns)
+    across, up = (great_circle(*(F.col(f"_{e}_{c}") for e in pair for c in ("lat", "lng"))) for pair in ("we", "sn"))
+    return df.withColumn(out, F.abs(across / up - 1)).drop(*columns)
+
+
+def grid_corners() -> list[tuple[float, float]]:
+    """The corners of the grid on the plane, and its middle."""
+    east, north = WEST + WIDTH * SIDE, SOUTH + HEIGHT * SIDE
+    return [(WEST, SOUTH), (east, SOUTH), (WEST, north), (east, north), ((WEST + east) / 2, (SOUTH + north) / 2)]

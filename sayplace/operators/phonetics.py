@@ -38,8 +38,30 @@ def substitution(a: str, b: str) -> float:
     return CROSS if (a in VOWELS) != (b in VOWELS) else SWAP
 
 
-def distances(a: list, b: list) -> np.ndarray:
-    """Weighted edit distances of pairs of phoneme sequences: one table for all pairs, filled cell by cell in vectors."""
+def bounds(a: list, b: list) -> np.ndarray:
+    """What the distance of each pair is at least: each phoneme that one has more often than the other takes an edit."""
+    codes: dict[str, int] = {}
+    counts = []
+    for side in (a, b):
+        at = [(k, codes.setdefault(p, len(codes))) for k, word in enumerate(side) for p in word]
+        counts.append(np.array(at, np.int64).reshape(-1, 2))
+    more = np.zeros((len(a), max(1, len(codes))))
+    np.add.at(more, tuple(counts[0].T), 1)
+    np.subtract.at(more, tuple(counts[1].T), 1)
+    return NEAR * np.maximum(np.maximum(more, 0).sum(1), np.maximum(-more, 0).sum(1))
+
+
+def distances(a: list, b: list, cutoff: float | None = None) -> np.ndarray:
+    """Weighted edit distances of pairs of phoneme sequences: one table for all pairs, filled cell by cell in vectors.
+
+    With a cutoff, pairs whose bound reaches it aren't measured and have infinity.
+    """
+    if cutoff is not None:
+        out = np.full(len(a), np.inf)
+        near = np.flatnonzero(bounds(a, b) < cutoff)
+        if len(near):
+            out[near] = distances([a[k] for k in near], [b[k] for k in near])
+        return out
     codes: dict[str, int] = {}
     rows = [[[codes.setdefault(p, len(codes)) for p in word] for word in side] for side in (a, b)]
     names = list(codes) + ["", "\0"]
@@ -61,13 +83,13 @@ def distances(a: list, b: list) -> np.ndarray:
     return out
 
 
-def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series(distances(a.tolist(), b.tolist()))
+def distance(a: Column | str, b: Column | str, cutoff: float | None = None) -> Column:
+    """The weighted edit distance of two arrays of phonemes; with a cutoff, infinity where a bound reaches it."""
 
+    def measured(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series(distances(x.tolist(), y.tolist(), cutoff))
 
-def distance(a: Column | str, b: Column | str) -> Column:
-    """The weighted edit distance of two arrays of phonemes."""
-    return F.pandas_udf(_distance, "double")(a, b)
+    return F.pandas_udf(measured, "double")(a, b)
 
 
 def _groups() -> dict[str, str]:
@@ -103,7 +125,7 @@ def sound_pairs(left: DataFrame, right: DataFrame, cutoff: float) -> DataFrame:
     a = left.select(F.col("word").alias("a"), F.col("phonemes").alias("pa"), F.explode(sound_keys(F.col("phonemes"), cutoff)).alias("key"))
     b = right.select(F.col("word").alias("b"), F.col("phonemes").alias("pb"), F.explode(sound_keys(F.col("phonemes"), cutoff)).alias("key"))
     met = a.join(b, "key").filter("a != b").select("a", "b", "pa", "pb").distinct()
-    return met.withColumn("d", distance("pa", "pb")).filter(F.col("d") < cutoff).select("a", "b", "d")
+    return met.withColumn("d", distance("pa", "pb", cutoff)).filter(F.col("d") < cutoff).select("a", "b", "d")
 
 
 def audit(entries: DataFrame, threshold: float) -> DataFrame:
@@ -111,6 +133,11 @@ def audit(entries: DataFrame, threshold: float) -> DataFrame:
     return sound_pairs(entries, entries, threshold).filter("a < b").select("d", "a", "b").distinct()
 
 
+def closest(entries: DataFrame, n: int = 20, threshold: float = 2.0) -> DataFrame:
+    """Rows (d, a, b): the n closest pairs of a list, for a look at it."""
+    return audit(entries, threshold).orderBy("d", "a", "b").limit(n)
+
+
 def isolation(pool: DataFrame, reference: DataFrame, cutoff: float = 2.0) -> DataFrame:
     """Rows (word, isolation): the distance to the nearest other word of the reference, the cutoff at most."""
     near = sound_pairs(pool, reference, cutoff).groupBy("a").agg(F.min("d").alias("d"))

@@ -87,6 +87,13 @@ def frequency_pool(pronunciations: DataFrame, ranked: DataFrame, offensive: Data
     return df.select("word", "rank", "phonemes", reason.alias("reason"))
 
 
+def of_levels(pool: DataFrame, graded: DataFrame, levels: tuple[str, ...]) -> DataFrame:
+    """The rows of a pool (word, reason, ...) with the reason 'not_graded' where there is none yet and no wanted level has the word; graded: rows (word, level)."""
+    wanted = graded.filter(F.upper("level").isin(*(x.upper() for x in levels))).select("word")
+    df = flagged(pool, wanted, "_graded")
+    return df.withColumn("reason", F.coalesce("reason", F.when(~F.col("_graded"), F.lit("not_graded")))).drop("_graded")
+
+
 def tallies(pool: DataFrame) -> DataFrame:
     """Rows (reason, n): how many words each reason turned away."""
     return pool.filter("reason is not null").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))

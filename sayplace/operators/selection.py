@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sayplace.operators.phonetics import sound_pairs
+from sayplace.operators.phonetics import sound_pairs, syllables
 from sayplace.operators.spelling import contained_pairs, families, keystroke_pairs, parts
 from sayplace.operators.tables import numbered, written
 
@@ -114,6 +114,40 @@ def select(candidates: DataFrame, edges: DataFrame, size: int | None = None, pre
     return chosen.withColumn("order", F.when(F.col("round") == 2, F.col("order") - top).otherwise(F.col("order"))), tallies.select(named.alias("kind"), "n")
 
 
+def select_kinds(candidates: DataFrame, edges: DataFrame, kinds: tuple[str, ...] = ("a", "n", "v"), prefix: int = PREFIX) -> DataFrame:
+    """Rows (kind, word, order, round): a list of its own for each kind; only words of a kind stand in each other's way.
+
+    candidates: rows (word, order, kind); edges: of conflicts() among all of them.
+    """
+    lists = []
+    for kind in kinds:
+        own = written(candidates.filter(F.col("kind") == kind).select("word", "order"))
+        names = own.select("word")
+        among = edges.join(names, "word", "left_semi").join(names.withColumnRenamed("word", "other"), "other", "left_semi")
+        chosen, _ = select(own, among, prefix=prefix)
+        lists.append(chosen.select(F.lit(kind).alias("kind"), "word", "order", "round"))
+    return reduce(DataFrame.unionByName, lists)
+
+
+def distinct_sounds(pool: DataFrame, threshold: float, size: int | None = None) -> DataFrame:
+    """Rows (word, order): words in order, each if none taken before sounds like it; the first of these if a size is wanted.
+
+    pool: rows (word, phonemes, order), order unique.
+    """
+    rows = written(pool.select("word", "phonemes", "order"))
+    near = sound_pairs(rows, rows, threshold).select(F.col("a").alias("word"), F.col("b").alias("other"))
+    taken = first_fit(rows.select("word", "order"), near).filter("taken").select("word", "order")
+    return taken if size is None else taken.orderBy("order").limit(size)
+
+
+def histograms(words: DataFrame) -> DataFrame:
+    """Rows (what, value, n) of a list (word, phonemes, isolation): its words by isolation and by syllables."""
+    both = words.select(F.explode(F.array(
+        F.struct(F.lit("isolation").alias("what"), F.col("isolation").cast("double").alias("value")),
+        F.struct(F.lit("syllables").alias("what"), syllables(F.col("phonemes")).cast("double").alias("value")))).alias("h"))
+    return both.groupBy("h.what", "h.value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def statistics(words: DataFrame, prefix: int = PREFIX) -> DataFrame:
     """One row about a list (word): its size, prefixes that only one word has, lengths, and the SHA-256 of its sorted lines."""
     unique = words.groupBy(F.substring("word", 1, prefix).alias("p")).agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") == 1).alias("unique_prefixes"))

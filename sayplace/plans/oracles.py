@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from sayplace.operators.cells import APERTURE, PENTAGONS, RESOLUTION, SLOTS
 from sayplace.operators.feistel import Feistel
+from sayplace.operators.measure import grid_corners
+from sayplace.operators.pool import FREQUENCY_RANK, LENGTH_BUDGET
 from sayplace.operators.mask import ELLIPSES, HEIGHT, SIDE, SOUTH, WEST, WIDTH
 from sayplace.operators.spelling import LEAST, STRONG, SUFFIXES, PREFIXES, VARIANTS, WEAK
 from sayplace.operators.vocabulary import CONSONANTS, KINDS, VOWELS
@@ -145,6 +147,29 @@ def _number() -> str:
     return f"case when len(run) = 0 then null when {written} then case when length(array_to_string(run, '')) <= 2 then array_to_string(run, '')::int end when len(run) = 1 then {one} when len(run) = 2 then {two} end"
 
 
+def _inflected() -> str:
+    """CTEs ending in inflected, rows (word), with the rule that a base under a weak ending is as frequent."""
+    return (
+        f"strong as (select word, unnest({_stems('word', STRONG)}) as base from tokens), weak as (select word, n, unnest({_stems('word', WEAK)}) as base from tokens), "
+        "inflected as (select word from strong where base in (select word from tokens) union select w.word from weak w join tokens t on t.word = w.base and t.n >= w.n)")
+
+
+def _with_variants() -> str:
+    return f"others as (select word, unnest({_variants('word')}) as other from tokens), variant as (select distinct word from others where other <> word and length(other) >= {LEAST} and other in (select word from tokens))"
+
+
+def _corner_lengths() -> str:
+    """Ground lengths of the middle lines of a square about each corner."""
+    corners = ", ".join(f"({k}, {x!r}::double, {y!r}::double)" for k, (x, y) in enumerate(grid_corners()))
+    half = SIDE / 2
+    return f"""corners as (select * from (values {corners}) v(corner, x, y)),
+        ends as (select corner, e, x + dx as x, y + dy as y from corners, (values ('w', -{half}::double, 0::double), ('e', {half}::double, 0::double), ('s', 0::double, -{half}::double), ('n', 0::double, {half}::double)) d(e, dx, dy)),
+        rho as (select *, sqrt(x * x + y * y) as r, 2 * asin(sqrt(x * x + y * y) / (2 * 6371008.8::double)) as c from ends),
+        ground as (select corner, e, degrees(asin(cos(c) * {_P.sin!r} + y * sin(c) * {_P.cos!r} / r)) as lat, degrees(radians({_P.lng}) + atan2(x * sin(c), r * {_P.cos!r} * cos(c) - y * {_P.sin!r} * sin(c))) as lng from rho),
+        wide as (select corner, max(case when e = 'w' then lat end) as lat, max(case when e = 'w' then lng end) as lng, max(case when e = 'e' then lat end) as to_lat, max(case when e = 'e' then lng end) as to_lng from ground group by corner),
+        tall as (select corner, max(case when e = 's' then lat end) as lat, max(case when e = 's' then lng end) as lng, max(case when e = 'n' then lat end) as to_lat, max(case when e = 'n' then lng end) as to_lng from ground group by corner)"""
+
+
 def oracles() -> dict[str, str]:
     u, p, g = plane(), phrase(), world()
     k, kp = u.k, p.k
@@ -221,6 +246,22 @@ def oracles() -> dict[str, str]:
         "mask_dilate": f"with {_MASK}, grown as (select distinct square % {WIDTH} + di as i, square // {WIDTH} + dj as j from mask, range(-1, 2) a(di), range(-1, 2) b(dj)) select count(*) as squares, sum(j * {WIDTH} + i)::bigint as total from grown where i between 1 and {WIDTH - 2} and j between 1 and {HEIGHT - 2}",
         "token_frequency_rank": f"with {_tokens()}, ranked as (select *, row_number() over (order by n desc, word) - 1 as rank from tokens) select word, n, rank, rank * 20 <= case length(word) when 4 then 55000 when 5 then 55000 when 6 then 45000 when 7 then 38000 when 8 then 28000 else 19000 end as affordable from ranked",
         "syllable_histogram": f"with {_tokens()} select length(regexp_replace(word, '[^{vowels}]', '', 'g')) as syllables, count(*) as words, sum(n)::bigint as uses from tokens group by 1",
+        "world_roundtrip": "select o_orderkey, 'ok' as status, true as same_cell, true as centre_inside, true as near from orders",
+        "mask_sample": f"with {_MASK}, sized as (select count(*) as n from mask) select o_orderkey, o_orderkey * 7919 % n as rank, o_orderkey * 7919 % n as square_rank from orders, sized",
+        "plane_squareness": f"with {_corner_lengths()}, w as (select corner, {_METRES} as m from wide), t as (select corner, {_METRES} as m from tall) select corner::bigint as corner, round(abs(w.m / t.m - 1), 6) as off from w join t using (corner)",
+        "list_statistics": f"with {_tokens()}, prefixes as (select substr(word, 1, 3) as p, count(*) as n from tokens group by p) select (select count(*) from tokens) as n_words, (select min(length(word))::int from tokens) as shortest, (select max(length(word))::int from tokens) as longest, (select round(avg(length(word)), 6) from tokens) as mean_length, (select sha256(string_agg(word, chr(10) order by word) || chr(10)) from tokens) as sha256, (select count(*) from prefixes where n = 1) as unique_prefixes",
+        "list_histograms": f"with {_tokens()} select 'isolation' as what, n % 5 / 2.0::double as value, count(*) as n from tokens group by 2 union all select 'syllables', length(regexp_replace(word, '[^aeiouy]', '', 'g'))::double, count(*) from tokens group by 2",
+        "priority_order": f"with {_tokens()}, ranked as (select *, row_number() over (order by n desc, word) - 1 as rank from tokens) select word, row_number() over (order by floor(ln(rank + 2) / ln(4) + 1e-12), n % 5 desc, rank) as \"order\" from ranked where n % 5 > 0",
+        "reject_reasons": f"""with {_tokens()}, {_inflected()}, {_with_variants()}, ranked as (select *, row_number() over (order by n desc, word) - 1 as rank, length(regexp_replace(word, '[^aeiouy]', '', 'g')) as beats from tokens),
+            judged as (select case when beats not between 1 and 3 then 'syllables' when rank > {FREQUENCY_RANK} then 'rare'
+                when rank > case length(word) {" ".join(f"when {n} then {most}" for n, most in LENGTH_BUDGET.items())} else 0 end then 'long_for_rank'
+                when starts_with(word, 'wh') then 'offensive' when starts_with(word, 'an') then 'name' when starts_with(word, 'es') then 'place' when starts_with(word, 'on') then 'excluded'
+                when word in (select word from inflected) then 'inflected' when word in (select word from variant) then 'variant' end as reason from ranked)
+            select reason, count(*) as n from judged where reason is not null group by reason""",
+        "graded_reasons": f"""with {_tokens()}, strong as (select word, unnest({_stems('word', STRONG + WEAK)}) as base from tokens), inflected as (select distinct word from strong where base in (select word from tokens)), {_with_variants()},
+            judged as (select case when n % 6 = 5 then 'level' when length(regexp_replace(word, '[^aeiouy]', '', 'g')) not between 1 and 3 then 'syllables' when starts_with(word, 'wh') then 'offensive' when starts_with(word, 'es') then 'place'
+                when word in (select word from variant) then 'variant' when word in (select word from inflected) then 'inflected' when starts_with(word, 'on') then 'excluded' when n % 6 > 2 then 'not_graded' end as reason from tokens)
+            select reason, count(*) as n from judged where reason is not null group by reason""",
         "keystroke_pairs": f"with {_tokens()}, keys as (select word, unnest(list_distinct(list_concat([word], list_transform(range(1, length(word) + 1), lambda p: substr(word, 1, p - 1) || substr(word, p + 1))))) as key from tokens), met as (select distinct a.word as a, b.word as b from keys a join keys b on a.key = b.key and a.word < b.word) select a, b from met where levenshtein(a, b) <= 1",
         "contained_words": f"with {_tokens()}, inside as (select distinct word as b, substr(word, p, l) as a from tokens, range(1, 7) x(p), range(4, 10) y(l) where p + l - 1 <= length(word)) select a, b from inside join tokens on word = a where a <> b",
         "inflected_words": f"with {_tokens()}, strong as (select word, unnest({_stems('word', STRONG)}) as base from tokens), weak as (select word, n, unnest({_stems('word', WEAK)}) as base from tokens) select word from strong where base in (select word from tokens) union select w.word from weak w join tokens t on t.word = w.base and t.n >= w.n",

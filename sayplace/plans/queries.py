@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sayplace.functions.numbers import digits
 from sayplace.functions.plane import great_circle
-from sayplace.operators import cells, mask, measure, phonetics, pool, selection, semantics, spelling, tables, text
+from sayplace.operators import cells, mask, measure, phonetics, points, pool, selection, semantics, spelling, tables, text
 from sayplace.operators.codecs import Phrase, Plane, World, spoken_text
 from sayplace.sources import wordlists
 
@@ -106,6 +106,41 @@ def global_scramble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return world().scramble.back(df, "number", "back").select("o_orderkey", "value", "number", "back")
 
 
+def with_sphere_point(df: DataFrame, key: str) -> DataFrame:
+    """lat, lng: a point anywhere on the sphere, the poles and the last meridian among them, from a whole number."""
+    k = F.col(key)
+    return df.withColumns({"lat": (k * 7919 + 13) % 180001 / 1000.0 - 90, "lng": (k * 104729 + 7) % 360001 / 1000.0 - 180})
+
+
+def world_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = world().encode_point(with_sphere_point(orders(spark, sf_dir), "o_orderkey"), "lat", "lng")
+    return df.select("o_orderkey", F.hex("cell").alias("cell"), spoken_text(F.col("words")).alias("words"))
+
+
+def world_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From points to words and back: the words' cell is the point's, and so is its centre's, which is within the longest radius of a cell."""
+    df = world().encode_point(with_sphere_point(orders(spark, sf_dir), "o_orderkey"), "lat", "lng", cell="at")
+    df = world().decode_point(df, "words", "to_lat", "to_lng").withColumn("again", points.cell_at(F.col("to_lat"), F.col("to_lng")))
+    error = great_circle(F.col("lat"), F.col("lng"), F.col("to_lat"), F.col("to_lng"))
+    return df.select("o_orderkey", "status", (F.col("cell") == F.col("at")).alias("same_cell"), (F.col("again") == F.col("at")).alias("centre_inside"), (error < 1.9).alias("near"))
+
+
+def mask_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points spread over the mask's squares; each has an address."""
+    k = F.col("o_orderkey")
+    df = orders(spark, sf_dir).withColumn("rank", k * 7919 % len(plane().grid.squares))
+    df = measure.mask_point(df, plane().grid, "rank", k * 31 % 1000 / 1000 + 0.0005, k * 17 % 1000 / 1000 + 0.0005, "lat", "lng")
+    df = plane().grid.cell(df, "lat", "lng", plane().k, "cell")
+    return df.select("o_orderkey", "rank", F.expr(f"cell div {plane().k ** 2}").alias("square_rank"))
+
+
+def plane_squareness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How square cells are on the ground at the grid's corners and in its middle."""
+    rows = spark.createDataFrame([(k, *p) for k, p in enumerate(measure.grid_corners())], "corner long, x double, y double")
+    df = measure.squareness(rows, "x", "y", mask.SIDE, "off")
+    return df.select("corner", F.round("off", 6).alias("off"))
+
+
 def _mutated(spark: SparkSession, sf_dir: str, lists: list, df: DataFrame) -> DataFrame:
     return measure.substituted(df, "words", F.col("o_orderkey") % len(lists), F.col("o_orderkey") * 31, lists, "said")
 
@@ -312,6 +347,58 @@ def greedy_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen.select("word", F.col("order").cast("long").alias("order"), F.col("round").cast("long").alias("round"))
 
 
+def distinct_sounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens in order of frequency, none sounding like one before it."""
+    ranked = wordlists.ranked(spoken_tokens(spark, sf_dir).withColumn("position", F.col("word")))
+    return selection.distinct_sounds(ranked.select("word", "phonemes", F.col("rank").alias("order")), 1.1)
+
+
+def closest_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phonetics.closest(spoken_tokens(spark, sf_dir))
+
+
+def sound_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phonetics.report(spoken_tokens(spark, sf_dir), (0.6, 1.1))
+
+
+def list_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.statistics(tokens(spark, sf_dir).select("word"))
+
+
+def list_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens by syllables, and by a made isolation."""
+    df = spoken_tokens(spark, sf_dir).withColumn("isolation", F.col("n") % 5 / 2)
+    return selection.histograms(df)
+
+
+def priority_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens by band of rank, the most isolated first; their isolation is made from their counts."""
+    df = ranked_tokens(spark, sf_dir).withColumn("isolation", F.col("n") % 5 / 2)
+    return selection.ordered(df.select("word", "rank", "isolation", "position")).select("word", "order")
+
+
+def graded_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain of a graded vocabulary over the tokens, with levels made from their counts, and the vocabulary's own words standing for the dictionaries."""
+    words = tokens(spark, sf_dir)
+    levels = F.array(*(F.lit(x) for x in pool.LEVELS))
+    graded = words.select("word", F.get(levels, (F.col("n") % 6).cast("int")).alias("level"))
+    said = words.select("word", F.array_join(_letters(F.col("word")), " ").alias("pronunciation"), F.col("word").alias("position"))
+    none = spark.createDataFrame([], "word string")
+    dictionary = words.select("word", F.lit(False).alias("proper"))
+    starts = lambda p: words.filter(F.col("word").startswith(p)).select("word")
+    chain = pool.graded_pool(graded, said, starts("wh"), dictionary, dictionary, starts("es"), starts("on"), none, none, levels=("A1", "A2", "B1", "B2", "C1"))
+    return pool.tallies(pool.of_levels(chain, graded, ("A1", "A2", "B1")))
+
+
+def select_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list for each kind of the tokens of seven letters, kinds made from counts, in order of frequency."""
+    words = tables.written(spoken_tokens(spark, sf_dir).filter("length(word) = 7"))
+    ranked = tables.written(wordlists.ranked(words.withColumn("position", F.col("word"))).select(
+        "word", "phonemes", F.col("rank").alias("order"), F.get(F.array(F.lit("a"), F.lit("n"), F.lit("v")), (F.col("n") % 3).cast("int")).alias("kind")))
+    edges = selection.conflicts(ranked.select("word", "phonemes"), words.select("word"))
+    return selection.select_kinds(ranked.select("word", "order", "kind"), tables.written(edges)).withColumn("round", F.col("round").cast("long"))
+
+
 def words_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of French documents that English ones don't have."""
     docs = table(spark, sf_dir, "documents")
@@ -352,7 +439,7 @@ def stream_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     uk_encode, uk_roundtrip_error, uk_digits, uk_decode_with, uk_outside_by_nation, uk_square_density, uk_wrong_word, uk_wrong_word_with_number,
-    global_words, global_scramble, global_decode_status, phrase_encode, phrase_wrong_word, neighbour_share, collision_check, numbers_fit,
+    global_words, global_scramble, global_decode_status, world_points, world_roundtrip, mask_sample, plane_squareness, phrase_encode, phrase_wrong_word, neighbour_share, collision_check, numbers_fit,
     parse_addresses, parse_words, mask_runs, mask_decode, mask_dilate, scanline_fill, token_frequency_rank, syllable_histogram, phonetic_audit,
     isolation_nearest, keystroke_pairs, contained_words, inflected_words, variant_words, compound_words, word_families, reject_reasons,
-    greedy_select, words_back, pos_dominance, hypernym_closure, stream_encode)}
+    greedy_select, distinct_sounds, closest_pairs, sound_report, list_statistics, list_histograms, priority_order, graded_reasons, select_kinds, words_back, pos_dominance, hypernym_closure, stream_encode)}

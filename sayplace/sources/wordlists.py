@@ -94,10 +94,15 @@ def senses(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """Rows (word, kind, place, offset, tagged) of an index file: a word's senses, the commonest at place 0, and how often it was tagged."""
     rows = lines(spark, path, "ISO-8859-1").filter(~F.col("line").startswith("  ")).select(_tokens("line").alias("t")).filter(F.size("t") >= 6)
     at = 4 + F.get("t", F.lit(3)).cast("int")
-    rows = rows.select(F.replace(F.lower(F.get("t", F.lit(0))), F.lit("_"), F.lit(" ")).alias("word"), F.get("t", at).cast("int").alias("n"), F.get("t", at + 1).cast("long").alias("tagged"), F.expr("slice(t, 4 + cast(t[3] as int) + 3, 1000)").alias("offsets"))
+    rows = rows.select(F.replace(F.lower(F.get("t", F.lit(0))), F.lit("_"), F.lit(" ")).alias("word"), F.get("t", at).cast("int").alias("n"), F.get("t", at + 1).cast("long").alias("tagged"), F.expr("slice(t, 4 + cast(t[3] as int) + 3, size(t))").alias("offsets"))
     return rows.select("word", F.lit(kind).alias("kind"), "n", "tagged", F.posexplode("offsets").alias("place", "offset")).filter("place < n").select("word", "kind", "place", "offset", "tagged")
 
 
+def tagged_counts(senses: DataFrame) -> DataFrame:
+    """Rows (word, kind, n) of senses(): one more than how often a word was tagged as a part of speech."""
+    return senses.groupBy("word", "kind").agg((F.max("tagged") + 1).alias("n"))
+
+
 def write_list(df: DataFrame, path: str) -> None:
     """A list as text, sorted, one word to a line, in one file: lists have a few thousand words."""
     df.select("word").coalesce(1).sortWithinPartitions("word").write.text(path)

@@ -232,3 +232,73 @@ def test_first_fit_on_a_long_chain(spark):
     vertices = spark.createDataFrame([(f"w{k:03}", k) for k in range(n)], "word string, order long")
     edges = spark.createDataFrame([(f"w{a:03}", f"w{b:03}") for k in range(n - 1) for a, b in ((k, k + 1), (k + 1, k))], "word string, other string")
     assert {r.order for r in first_fit(vertices, edges).filter("taken").collect()} == set(range(0, n, 2))
+
+
+PHONEMES = ["AA", "AO", "IY", "B", "P", "S", "Z", "K"]
+
+
+def said(rng, n):
+    return {f"{chr(97 + k % 26)}{chr(97 + k // 26)}word{k}": [rng.choice(PHONEMES) for _ in range(rng.randrange(2, 6))] for k in range(n)}
+
+
+def test_bound_is_below_distance():
+    rng = random.Random(12)
+    a, b = ([[rng.choice(PHONEMES) for _ in range(rng.randrange(7))] for _ in range(500)] for _ in range(2))
+    d, low = phonetics.distances(a, b), phonetics.bounds(a, b)
+    assert (low <= d + 1e-12).all() and (low > 0).any()
+    cut = phonetics.distances(a, b, 1.1)
+    assert all(x == y or (x == math.inf and y >= 1.1) for x, y in zip(cut, d)) and (cut < math.inf).any()
+    assert len(phonetics.bounds([], [])) == 0 == len(phonetics.distances([], [], 1.0))
+
+
+def test_distinct_sounds_and_closest(spark):
+    rng = random.Random(13)
+    words = said(rng, 60)
+    df = spark.createDataFrame([(w, p, k) for k, (w, p) in enumerate(words.items())], "word string, phonemes array<string>, order long").repartition(4)
+    names, taken = list(words), []
+    d = {(a, b): x for a in names for b, x in zip(names, phonetics.distances([words[a]] * len(names), [words[b] for b in names]))}
+    for w in names:
+        if all(d[w, v] >= 1.1 for v in taken):
+            taken.append(w)
+    got = [r.word for r in selection.distinct_sounds(df, 1.1).orderBy("order").collect()]
+    assert got == taken and 5 < len(taken) < 60
+    assert [r.word for r in selection.distinct_sounds(df, 1.1, size=4).orderBy("order").collect()] == taken[:4]
+    near = sorted((x, a, b) for (a, b), x in d.items() if a < b and x < 2.0)
+    assert [tuple(r) for r in phonetics.closest(df, 7).collect()] == near[:7]
+
+
+def test_select_kinds(spark):
+    """Each kind has the list that it would have alone."""
+    rng = random.Random(14)
+    words = said(rng, 45)
+    rows = [(w, p, k, "anv"[k % 3]) for k, (w, p) in enumerate(words.items())]
+    df = spark.createDataFrame(rows, "word string, phonemes array<string>, order long, kind string")
+    edges = selection.conflicts(df.select("word", "phonemes"), df.select("word"))
+    got = {(r.kind, r.word, r.order, r.round) for r in selection.select_kinds(df, edges).collect()}
+    for kind in "anv":
+        own = df.filter(F.col("kind") == kind)
+        alone, _ = selection.select(own.select("word", "order"), selection.conflicts(own.select("word", "phonemes"), df.select("word")))
+        assert {x[1:] for x in got if x[0] == kind} == {(r.word, r.order, r.round) for r in alone.collect()}
+
+
+def test_levels_and_tagged_counts(spark):
+    rows = spark.createDataFrame([("a", None), ("b", "rare"), ("c", None), ("d", None)], "word string, reason string")
+    graded = spark.createDataFrame([("a", "b1"), ("c", "C2"), ("d", "A1"), ("d", "A1")], "word string, level string")
+    got = {r.word: r.reason for r in pool.of_levels(rows, graded, ("A1", "B1")).collect()}
+    assert got == {"a": None, "b": "rare", "c": "not_graded", "d": None}
+    senses = spark.createDataFrame([("run", "v", 0, "1", 7), ("run", "v", 1, "2", 7), ("run", "n", 0, "3", 0)], "word string, kind string, place int, offset string, tagged long")
+    assert {tuple(r) for r in wordlists.tagged_counts(senses).collect()} == {("run", "v", 8), ("run", "n", 1)}
+
+
+def test_mask_points_and_squareness(spark):
+    from sayplace.operators.codecs import Plane
+
+    plane = Plane()
+    n = len(plane.grid.squares)
+    df = spark.createDataFrame([(0, 0.01, 0.99), (n - 1, 0.5, 0.5), (n // 2, 0.999, 0.001), (n, 0.5, 0.5), (None, 0.5, 0.5)], "rank long, east double, north double")
+    df = measure.mask_point(df, plane.grid, "rank", F.col("east"), F.col("north"), "lat", "lng")
+    got = {r["rank"]: r.cell for r in plane.grid.cell(df, "lat", "lng", plane.k, "cell").collect()}
+    assert {k: v // plane.k**2 for k, v in got.items() if v is not None} == {0: 0, n - 1: n - 1, n // 2: n // 2} and got[n] is None is got[None]
+    rows = spark.createDataFrame(measure.grid_corners(), "x double, y double")
+    off = [r.off for r in measure.squareness(rows, "x", "y", 2000.0, "off").collect()]
+    assert len(off) == 5 and max(off) < 0.02 and min(off) < 1e-4
