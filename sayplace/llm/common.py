@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +36,39 @@ def bound_batches(spark: SparkSession, rows: int = 256) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+_HELD: dict = {}
+
+
+def give_back() -> None:
+    """What a worker has freed goes back to the machine: workers live on, and the next stage's memory would come on top."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+def held(token: str, make):
+    """What make() gives, made once a worker and kept until another operator of this package holds something there."""
+    if _HELD.get("token") != token:
+        _HELD.clear()
+        give_back()
+        _HELD.update(token=token, value=make())
+    return _HELD["value"]
+
+
+def released(run):
+    """A map of Arrow batches that gives back memory when its task ends."""
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return around
+
+
 class Workspace:
     """Tables written in the shared folder: they cut lineage, survive lost executors and go when the session's JVM ends, or with drop()."""
 

@@ -11,15 +11,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from sayplace.llm.common import Workspace, bound_batches
+from sayplace.llm.common import Workspace, bound_batches, held, released
 
 WINDOW = 10
 #: Windows are broadcast, so many bytes of them at a time; an automaton takes about forty times that in each worker.
 #: A larger test suite is scanned for in parts, one after another.
 MAX_WINDOW_BYTES = 8 << 20
 
-_WORKER: dict = {}
-
 #: Bytes to bytes: A-Z to a-z; 0-9, a-z and what UTF-8 has beyond ASCII stay; the rest separates words.
 _WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -103,10 +101,7 @@ def _find(patterns, token: str, before: bool, after: list[str], spans: bool):
     """Of each text the words, the runs hit and the items, with those that parts before this one found; columns named in after go along, and the runs as spans of the text if wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if _WORKER.get("token") != token:
-            _WORKER.clear()
-            _WORKER.update(token=token, trie=automaton(patterns.value[0]))
-        trie, names = _WORKER["trie"], patterns.value[1]
+        trie, names = held(token, lambda: automaton(patterns.value[0])), patterns.value[1]
         for batch in batches:
             n_words, runs, items = [], [], []
             for text in batch.column("text").to_pylist():
@@ -172,7 +167,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, item: str, item_text: str, siz
         kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
         patterns = spark.sparkContext.broadcast(_patterns(some, size))
         kinds += f", {_FOUND}" + (", spans array<struct<begin: long, end: long>>" if last and spans else "")
-        after = out.mapInArrow(_find(patterns, uuid.uuid4().hex, k > 0, keep, last and spans), kinds)
+        after = out.mapInArrow(released(_find(patterns, uuid.uuid4().hex, k > 0, keep, last and spans)), kinds)
         before, out = out, after if last else ws.write(after)
         if 0 < k and not last:
             ws.drop(before)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sayplace.llm.common import Workspace, admits, bound_batches, key_filter
+from sayplace.llm.common import Workspace, admits, bound_batches, key_filter, released
 
 #: A group of copies is spread over so many salts before its winners meet.
 SALTS = 16
@@ -82,11 +82,11 @@ def exact_dedup(df: DataFrame, key: str, text: str, salts: int = SALTS, digest_b
     ws = Workspace(spark, "exact-dedup")
     source = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     salted = source.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
-    narrow = ws.write(source.mapInArrow(_digests(digest_bytes), "id long, digest binary, sha string"))
+    narrow = ws.write(source.mapInArrow(released(_digests(digest_bytes)), "id long, digest binary, sha string"))
     many = ws.write(narrow.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest"))
 
     def contents(digests: DataFrame) -> DataFrame:
-        return salted.mapInArrow(_contents(digest_bytes, key_filter(digests, "digest")), "digest binary, salt int, content binary, top long, n long")
+        return salted.mapInArrow(released(_contents(digest_bytes, key_filter(digests, "digest"))), "digest binary, salt int, content binary, top long, n long")
 
     by_salt = contents(many).groupBy("digest", "salt", "content").agg(F.max("top").alias("top"), F.sum("n").alias("n"))
     # The winners lie by digest from here on: the merge, and the count of contents that share a digest, need no further shuffle.

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sayplace.llm.common import Workspace, admits, bound_batches, components, hot_join, key_filter
+from sayplace.llm.common import Workspace, admits, bound_batches, components, hot_join, key_filter, released
 
 #: Values a sketch retains, and standard deviations of doubt that estimates allow for: a pair at the
 #: threshold is missed with a chance of about one in ten million. Sets of no more values are kept whole,
@@ -298,7 +298,7 @@ def _links(ws: Workspace, source: DataFrame, reps: DataFrame, size: int, thresho
     counts = np.zeros(COUNTERS, np.int32)
     counts[table["bucket"].to_numpy(np.int64)] = np.minimum(table["m"].to_numpy(np.int64), np.iinfo(np.int32).max)
     order, shared = spark.sparkContext.broadcast(counts), key_filter(several, "value", hashed=True)
-    listed = ws.write(reps.select("id", "n", "sketch").mapInArrow(_entries(threshold, order, shared), "value long, id long, n long, own double"))
+    listed = ws.write(reps.select("id", "n", "sketch").mapInArrow(released(_entries(threshold, order, shared)), "value long, id long, n long, own double"))
     # Leaders of each list of several sets: those in the middle of their like, which most others are similar to.
     few = F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt")
     tops = listed.groupBy("value", few).agg(F.min(F.struct("own", "id", "n")).alias("l"), F.count(F.lit(1)).alias("m")).groupBy("value").agg(
@@ -324,17 +324,17 @@ def _links(ws: Workspace, source: DataFrame, reps: DataFrame, size: int, thresho
         return out.select("a", "b", *(f"{name}{end}" for name in columns for end in "ab"))
 
     rows = with_ends(pairs.select("a", "b"), sketches, n="n", s="sketch")
-    likely_pairs = ws.write(rows.mapInArrow(_estimated(threshold), "a long, b long").distinct())
+    likely_pairs = ws.write(rows.mapInArrow(released(_estimated(threshold)), "a long, b long").distinct())
 
     def sets_of(needed: DataFrame) -> DataFrame:
         """Rows (id, shingles): whole sets, those of these ids among them; an id that repeats has several."""
         needed = ws.write(needed.select("id").distinct())
-        made = source.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(_sets(size, key_filter(needed, "id")), "id long, shingles array<long>")
+        made = source.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(released(_sets(size, key_filter(needed, "id"))), "id long, shingles array<long>")
         return ws.write(made)
 
     sets = sets_of(likely_pairs.select(F.explode(F.array("a", "b")).alias("id")))
     rows = with_ends(likely_pairs, sets, s="shingles")
-    found = ws.write(rows.mapInArrow(_verified(threshold), "a long, b long").distinct())
+    found = ws.write(rows.mapInArrow(released(_verified(threshold)), "a long, b long").distinct())
     roots = components(ws, found)
     placed = ws.write(entries.join(roots.withColumnRenamed("node", "id"), "id", "left").select("value", "id", "n", F.coalesce("root", "id").alias("root")))
     return found, _rest(ws, placed, sets_of, threshold), roots
@@ -366,7 +366,7 @@ def near_dedup(df: DataFrame, key: str, text: str, size: int = 5, threshold: flo
     bound_batches(spark)
     ws = Workspace(spark, "near-dedup")
     source = df.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text).alias("text"))
-    sketched = ws.write(source.mapInArrow(_sketches(size), "id long, n long, digest binary, sketch array<long>"))
+    sketched = ws.write(source.mapInArrow(released(_sketches(size)), "id long, n long, digest binary, sketch array<long>"))
     salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt")
     classes = sketched.filter("n > 0").select("digest", "id", salt).groupBy("digest", "salt").agg(F.min("id").alias("id")).groupBy("digest").agg(
         F.min("id").alias("cid"), F.collect_set("salt").alias("salts"))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sayplace.llm.common import Workspace, bound_batches, gapless
+from sayplace.llm.common import Workspace, bound_batches, gapless, held, released
 from sayplace.llm.token_count import local, ship
 from sayplace.llm.tokenizer import grouped
 from sayplace.llm.word_ids import WordIds
@@ -21,9 +21,7 @@ from sayplace.llm.word_ids import WordIds
 BUCKETS, FULL_BUCKETS = 16, 4096
 
 #: Texts are looked up together until they have so many characters.
-GROUP_CHARS = 8_000_000
-
-_WORKER: dict = {}
+GROUP_CHARS = 4_000_000
 
 
 def pattern(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -84,9 +82,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
 
 def _pieces(name: str, token: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if _WORKER.get("token") != token:
-            _WORKER.update(token=token, ids=WordIds(local(name)))
-        known: WordIds = _WORKER["ids"]
+        known: WordIds = held(token, lambda: WordIds(local(name)))
         end = struct.pack("<I", end_id)
         for ids_of, texts in grouped(batches, GROUP_CHARS):
             all_ids, bounds = known.lookup(texts)
@@ -144,7 +140,7 @@ def pack(df: DataFrame, key: str, text: str, path: str, capacity: int = 2048, en
     kind = df.schema[key].dataType.simpleString()
     schema = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long"
     pieces = df.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(
-        _pieces(ship(spark, path), uuid.uuid4().hex, capacity, end_id), schema)
+        released(_pieces(ship(spark, path), uuid.uuid4().hex, capacity, end_id)), schema)
     buckets = F.when(F.col("length") == capacity, F.lit(FULL_BUCKETS)).otherwise(F.lit(BUCKETS))
     staged = ws.write(pieces.withColumn("bucket", F.pmod(F.spark_partition_id(), buckets)))
     counts = {r["length"]: r["n"] for r in staged.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}

@@ -12,7 +12,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sayplace.llm.common import bound_batches
+from sayplace.llm.common import bound_batches, held, released
 from sayplace.llm.tokenizer import CACHE_CHARS, Remembered, byte_level_pieces, counted, grouped
 
 #: Each task reports its commonest pieces, so many at most; the broadcast table has so many in all.
@@ -20,8 +20,6 @@ PER_TASK, TABLE = 1024, 65536
 #: A task's counter is cut to a quarter, the commonest, when it has grown to this.
 COUNTER = 400_000
 
-_WORKER: dict = {}
-
 
 def ship(spark: SparkSession, path: str) -> str:
     """Send the tokenizer's file to the executors; returns the name to open it by."""
@@ -46,11 +44,11 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _count(name: str, token: str, table):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if _WORKER.get("token") != token:
+        def made() -> Remembered:
             pieces, lengths = table.value
-            first = dict(zip(pieces.split("\0"), lengths)) if lengths else {}
-            _WORKER.update(token=token, lengths=Remembered(local(name), counted, first))
-        known: Remembered = _WORKER["lengths"]
+            return Remembered(local(name), counted, dict(zip(pieces.split("\0"), lengths)) if lengths else {})
+
+        known: Remembered = held(token, made)
         for keys, texts in grouped(batches):
             cut = [byte_level_pieces(t, known.specials) for t in texts]
             counts = known.lookup(cut, sum)
@@ -63,7 +61,7 @@ def _count(name: str, token: str, table):
 
 def frequent(df: DataFrame, text: str) -> list[str]:
     """The commonest pieces over all rows: each task sends the head of its own count, so no pre-token is shuffled."""
-    heads = df.select(F.col(text)).mapInArrow(_common, "piece string, n long")
+    heads = df.select(F.col(text)).mapInArrow(released(_common), "piece string, n long")
     rows = heads.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(TABLE).collect()
     return [r["piece"] for r in rows if "\0" not in r["piece"]]
 
@@ -84,4 +82,4 @@ def token_counts(df: DataFrame, key: str, text: str, path: str) -> DataFrame:
     lengths = Remembered(path, counted).encode(pieces) if pieces else []
     table = spark.sparkContext.broadcast(("\0".join(pieces), bytes(lengths)))
     return df.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(
-        _count(name, uuid.uuid4().hex, table), f"id {df.schema[key].dataType.simpleString()}, n_bytes long, n_tokens long")
+        released(_count(name, uuid.uuid4().hex, table)), f"id {df.schema[key].dataType.simpleString()}, n_bytes long, n_tokens long")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sayplace.llm.common import Workspace, bound_batches
+from sayplace.llm.common import Workspace, bound_batches, held, released
 
 ORDERS = (4, 5, 6)
 #: n-grams are hashed to so many places. Features, for either class, are those that tell the classes apart best; more
@@ -24,8 +24,6 @@ PENALTY = 3e-4
 #: So many entries of the sample's rows are looked at together.
 CHUNK = 1 << 21
 
-_WORKER: dict = {}
-
 
 def _codes(text: str | None) -> np.ndarray:
     """Lower-cased code points between two spaces, every control character and white space as a space."""
@@ -176,14 +174,14 @@ def fit(labelled: DataFrame, key: str, text: str, label: str, max_rows: int = MA
     if not nn or not np_:
         share = min(max(np_ / max(1, nn + np_), 1e-6), 1 - 1e-6)
         return Model(np.empty(0, np.int64), np.empty(0), float(np.log(share / (1 - share))))
-    counts = sample.mapInArrow(_class_counts, "place long, neg long, pos long").groupBy("place").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
+    counts = sample.mapInArrow(released(_class_counts), "place long, neg long, pos long").groupBy("place").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
     ratio = F.log((F.col("pos") + 1) / (np_ + 2)) - F.log((F.col("neg") + 1) / (nn + 2))
     # How far an n-gram speaks for either class: its ratio by how far the classes' rates lie apart, of one sign but for rounding.
     worth = F.abs(ratio * (F.col("pos") / np_ - F.col("neg") / nn))
     best = counts.filter(f"pos + neg >= {LEAST_ROWS}").select("place", ratio.alias("r"), worth.alias("worth")).orderBy(F.desc("worth"), "place").limit(features).toPandas()
     best = best.sort_values("place")
     places, ratios = best["place"].to_numpy(np.int64), best["r"].to_numpy(float)
-    vectors = sample.mapInArrow(_vectors(spark.sparkContext.broadcast(places)), "y int, features binary").toArrow()
+    vectors = sample.mapInArrow(released(_vectors(spark.sparkContext.broadcast(places))), "y int, features binary").toArrow()
     ws.drop(sample)
     # In an order of their own, so that sums don't depend on how the table was read.
     found = sorted(zip(vectors.column("y").to_pylist(), vectors.column("features").to_pylist()))
@@ -194,10 +192,7 @@ def fit(labelled: DataFrame, key: str, text: str, label: str, max_rows: int = MA
 
 def _scores(model, token: str, text: str, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if _WORKER.get("token") != token:
-            _WORKER.clear()
-            _WORKER.update(token=token, table=model.value.table())
-        m, table = model.value, _WORKER["table"]
+        m, table = model.value, held(token, model.value.table)
         for batch in batches:
             found = pa.array([m.score(t, table) for t in batch.column(text).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), found], names=[*columns, "score"])
@@ -210,7 +205,7 @@ def _scored(rows: DataFrame, model: Model, columns: list[str]) -> DataFrame:
     spark = rows.sparkSession
     bound_batches(spark)
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns)
-    return rows.mapInArrow(_scores(spark.sparkContext.broadcast(model), uuid.uuid4().hex, "text", columns), f"{kinds}, score double")
+    return rows.mapInArrow(released(_scores(spark.sparkContext.broadcast(model), uuid.uuid4().hex, "text", columns)), f"{kinds}, score double")
 
 
 def scores(df: DataFrame, key: str, text: str, model: Model) -> DataFrame:
