@@ -21,7 +21,7 @@ from sayplace.llm.word_ids import WordIds
 BUCKETS, FULL_BUCKETS = 16, 4096
 
 #: Texts are looked up together until they have so many characters.
-GROUP_CHARS = 4_000_000
+GROUP_CHARS = 3_000_000
 
 
 def pattern(counts: dict[int, int], capacity: int) -> dict[int, int]:

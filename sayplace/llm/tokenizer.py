@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import os
 import re
 from collections.abc import Iterator
 
@@ -10,6 +11,9 @@ import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
+#: A task has one core, and each thread of the library would keep memory of its own.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
 #: Pieces a worker remembers at most, in each of two generations; longer ones go to the library each time.
 CACHE_PIECES, CACHE_CHARS = 300_000, 60
 

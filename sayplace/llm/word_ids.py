@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import re
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from tokenizers import Tokenizer, normalizers, pre_tokenizers
+from tokenizers import Tokenizer, pre_tokenizers
+
+#: A task has one core, and each thread of the library would keep memory of its own.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: A worker forgets all its words when they are so many, or their ids; longer words are never remembered.
 CACHE_WORDS, CACHE_IDS, CACHE_CHARS = 400_000, 1 << 23, 60
@@ -36,12 +40,11 @@ class WordIds:
     """Remembers the ids of words: their numbers in a dictionary, and for each number a piece of one array of ids."""
 
     def __init__(self, path: str):
-        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        for t in (self.tokenizer, self.plain):
-            t.no_truncation()
-            t.no_padding()
-        # For plain words, what cuts and changes texts has nothing to do.
-        self.plain.normalizer = normalizers.Sequence([])
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        # For plain words, what cuts and changes texts has nothing to do: the same model without it.
+        self.plain = Tokenizer(self.tokenizer.model)
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         #: A word's last token shows by its ending.
