@@ -301,4 +301,5 @@ def test_mask_points_and_squareness(spark):
     assert {k: v // plane.k**2 for k, v in got.items() if v is not None} == {0: 0, n - 1: n - 1, n // 2: n // 2} and got[n] is None is got[None]
     rows = spark.createDataFrame(measure.grid_corners(), "x double, y double")
     off = [r.off for r in measure.squareness(rows, "x", "y", 2000.0, "off").collect()]
-    assert len(off) == 5 and max(off) < 0.02 and min(off) < 1e-4
+    # The grid is made so that cells are square within half a percent at its corners.
+    assert len(off) == 5 and 0 < max(off) < 0.005
