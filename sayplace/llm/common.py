@@ -123,6 +123,8 @@ def gapless(staged: DataFrame, group: list[str], bucket: str, order: list[str],
 
 #: The least and the most bits of a filter: half a megabyte and 32. In between, eight for each key.
 FILTER_LEAST, FILTER_MOST = 1 << 22, 1 << 28
+#: Fixed value: the bits of what bitmap_construct_agg makes.
+SLICE_SHIFT = 15
 
 
 def key_filter(keys: DataFrame, column: str, hashed: bool = False):
@@ -135,12 +137,13 @@ def key_filter(keys: DataFrame, column: str, hashed: bool = False):
     while bits < min(FILTER_MOST, 8 * keys.count()):
         bits *= 2
     at = F.pmod(F.col(column) if hashed else F.xxhash64(F.col(column)), F.lit(bits))
-    words = keys.select(at.alias("_at")).select(
-        (F.col("_at") / 64).cast("int").alias("w"), F.expr("shiftleft(1L, cast(_at % 64 as int))").alias("b"),
-    ).groupBy("w").agg(F.expr("bit_or(b)").alias("b"))
-    table = words.toPandas()
+    # Slices are made whole before they come to the driver: bytes, as a row for each word takes a hundred times its size there.
+    placed = keys.select((F.shiftright(at, SLICE_SHIFT)).cast("int").alias("s"), at.bitwiseAND(F.lit((1 << SLICE_SHIFT) - 1)).alias("_at")).repartition("s")
+    slices = placed.groupBy("s").agg(F.bitmap_construct_agg("_at").alias("b"))
     bitmap = np.zeros(bits // 64, np.uint64)
-    bitmap[table["w"].to_numpy(np.int64)] = table["b"].to_numpy(np.int64).view(np.uint64)
+    for batch in slices.toArrow().to_batches():
+        for s, b in zip(batch.column(0).to_numpy(), batch.column(1)):
+            bitmap[s << SLICE_SHIFT - 6 : (s + 1) << SLICE_SHIFT - 6] = np.frombuffer(b.as_buffer(), "<u8")
     return keys.sparkSession.sparkContext.broadcast(bitmap)
 
 

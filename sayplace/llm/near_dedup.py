@@ -294,9 +294,9 @@ def _links(ws: Workspace, source: DataFrame, reps: DataFrame, size: int, thresho
     several = reps.select(F.explode("sketch").alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     several = ws.write(several)
     bucket = F.shiftrightunsigned("value", COUNTER_SHIFT).bitwiseAND(F.lit(COUNTERS - 1))
-    table = several.groupBy(bucket.alias("bucket")).agg(F.max("m").alias("m")).toPandas()
+    table = several.groupBy(bucket.alias("bucket")).agg(F.max("m").alias("m")).toArrow()
     counts = np.zeros(COUNTERS, np.int32)
-    counts[table["bucket"].to_numpy(np.int64)] = np.minimum(table["m"].to_numpy(np.int64), np.iinfo(np.int32).max)
+    counts[table["bucket"].to_numpy()] = np.minimum(table["m"].to_numpy(), np.iinfo(np.int32).max)
     order, shared = spark.sparkContext.broadcast(counts), key_filter(several, "value", hashed=True)
     listed = ws.write(reps.select("id", "n", "sketch").mapInArrow(released(_entries(threshold, order, shared)), "value long, id long, n long, own double"))
     # Leaders of each list of several sets: those in the middle of their like, which most others are similar to.

@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from sayplace.llm import common
@@ -185,3 +186,29 @@ def test_estimates():
 @pytest.mark.parametrize("text, n", [(None, 0), ("", 0), (" \n", 0), ("a", 1), ("a b c d", 1), ("a b c d e", 2), ("a a a a a a", 1)])
 def test_set_sizes(text, n):
     assert len(shingle_set(text, 4)) == n
+
+
+def test_filters_come_to_the_driver_as_bytes(spark, monkeypatch):
+    """A bit for each key and no other, and a row for each slice of them, not for each word."""
+    hashes = spark.range(300_000).selectExpr("xxhash64(id) AS h").toArrow()["h"].to_numpy()
+    kind, came = type(spark.range(0)), []
+
+    def counted(name):
+        inner = getattr(kind, name)
+
+        def run(self, *args):
+            out = inner(self, *args)
+            came.append(out.num_rows if name == "toArrow" else len(out))
+            return out
+
+        return run
+
+    for name in ("collect", "toPandas", "toArrow"):
+        monkeypatch.setattr(kind, name, counted(name))
+    bitmap = common.key_filter(spark.range(300_000), "id").value
+    assert sum(came) <= len(bitmap) * 64 // 32768
+    want = np.zeros(len(bitmap) * 64, bool)
+    want[hashes % len(want)] = True
+    assert (np.unpackbits(bitmap.view(np.uint8), bitorder="little").astype(bool) == want).all()
+    assert common.admits(bitmap, hashes).all()
+    assert not common.key_filter(spark.range(0), "id").value.any()
