@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -117,15 +120,54 @@ def sound_keys(phonemes: Column, cutoff: float) -> Column:
     return F.array_distinct(F.transform(keys, lambda w: F.array_join(w, " ")))
 
 
+def _measured(cutoff: float):
+    """Pairs (a, b, pa, pb) closer than the cutoff, with d; sequences as text with spaces. Only the table's cells near its diagonal are filled: any other takes insertions for the cutoff or more."""
+    band = math.ceil(cutoff / SWAP) - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            said = pc.split_pattern(pa.concat_arrays([batch.column("pa"), batch.column("pb")]), " ")
+            row, found = pc.list_parent_indices(said).to_numpy(), said.flatten().dictionary_encode()
+            code, names = found.indices.to_numpy(), found.dictionary.to_pylist()
+            row, code = (x[code != names.index("")] if "" in names else x for x in (row, code))
+            size = np.bincount(row, minlength=2 * n)
+            counts = np.bincount(row * len(names) + code, minlength=2 * n * len(names)).reshape(2 * n, len(names))
+            more = counts[:n] - counts[n:]
+            near = np.flatnonzero(NEAR * np.maximum(np.maximum(more, 0).sum(1), np.maximum(-more, 0).sum(1)) < cutoff)
+            table = np.full((2 * n, max(1, size.max(initial=0))), len(names))
+            table[row, np.arange(len(row)) - (np.cumsum(size) - size)[row]] = code
+            x, y, na, nb = table[near].T, table[near + n].T, size[near], size[near + n]
+            cost = np.array([[substitution(p, q) for q in names + [""]] for p in names + [""]])
+            away = np.full(len(near), np.inf)
+            d = np.where(na == 0, nb * SWAP, away)
+            before = {j: np.full(len(near), j * SWAP) for j in range(min(band, len(y)) + 1)}
+            for i in range(1, na.max(initial=0) + 1):
+                now = {0: np.full(len(near), i * SWAP)} if i <= band else {}
+                for j in range(max(0, i - band), min(i + band, nb.max(initial=0)) + 1):
+                    if j:
+                        now[j] = np.minimum(before.get(j - 1, away) + cost[x[i - 1], y[j - 1]], np.minimum(before.get(j, away), now.get(j - 1, away)) + SWAP)
+                    d = np.where((na == i) & (nb == j), now[j], d)
+                before = now
+            close = d < cutoff
+            at = pa.array(near[close])
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at), pa.array(d[close])], names=["a", "b", "d"])
+
+    return run
+
+
 def sound_pairs(left: DataFrame, right: DataFrame, cutoff: float) -> DataFrame:
     """Rows (a, b, d) of words that sound alike, d below the cutoff; both tables have rows (word, phonemes). A word isn't paired with itself.
 
-    An equality join on keys, so no word meets all others of its length; a pair that shares several keys is measured once.
+    An equality join on keys, so no word meets all others of its length; a pair that shares several keys is measured once,
+    and of a table with itself in one direction only.
     """
-    a = left.select(F.col("word").alias("a"), F.col("phonemes").alias("pa"), F.explode(sound_keys(F.col("phonemes"), cutoff)).alias("key"))
-    b = right.select(F.col("word").alias("b"), F.col("phonemes").alias("pb"), F.explode(sound_keys(F.col("phonemes"), cutoff)).alias("key"))
-    met = a.join(b, "key").filter("a != b").select("a", "b", "pa", "pb").distinct()
-    return met.withColumn("d", distance("pa", "pb", cutoff)).filter(F.col("d") < cutoff).select("a", "b", "d")
+    side = lambda df, x: df.select(F.col("word").alias(x), F.array_join("phonemes", " ").alias(f"p{x}"), F.explode(sound_keys(F.col("phonemes"), cutoff)).alias("key"))
+    met = side(left, "a").join(side(right, "b"), "key").filter("a < b" if left is right else "a != b").select("a", "b", "pa", "pb").distinct()
+    near = met.mapInArrow(_measured(cutoff), "a string, b string, d double")
+    if left is not right:
+        return near
+    return near.select(F.explode(F.array(F.struct("a", "b", "d"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "d"))).alias("p")).select("p.*")
 
 
 def audit(entries: DataFrame, threshold: float) -> DataFrame:

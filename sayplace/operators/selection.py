@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +17,8 @@ from sayplace.operators.tables import numbered, written
 #: Reasons in the order in which a candidate is tested.
 KINDS = ["shared piece", "shared root", "contained", "sound", "spelling"]
 PREFIX = 3
+#: Words and conflicts that one task decides at a time.
+BLOCK = 4_000_000
 
 
 def band(rank: Column, base: float = 4.0) -> Column:
@@ -32,70 +37,109 @@ def conflicts(words: DataFrame, vocabulary: DataFrame, threshold: float = 2.0) -
 
     words: rows (word, phonemes). Every reason joins on a key: pieces, roots, substrings, sounds, deletions.
     """
+    keys, near = claims(words, vocabulary), close(words, threshold)
+    shared = keys.join(keys.select(F.col("word").alias("other"), "key"), "key").filter("word != other").select("word", "other", "kind")
+    return shared.unionByName(near).groupBy("word", "other").agg(F.min("kind").alias("kind"))
+
+
+def claims(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Rows (word, key, kind): what a word takes up; words with the same key conflict, for the later one's kind (of KINDS): a piece, else a root."""
+    names = words.select("word").distinct()
+    pieces = parts(names, vocabulary).select("word", F.col("part").alias("key"), F.lit(0).alias("kind"))
+    roots = families(names, vocabulary).select("word", F.col("member").alias("key"), F.lit(1).alias("kind"))
+    return pieces.unionByName(roots).groupBy("word", "key").agg(F.min("kind").alias("kind"))
+
+
+def close(words: DataFrame, threshold: float = 2.0) -> DataFrame:
+    """Rows (word, other, kind) of the conflicts that aren't about keys: contained, sound, spelling."""
     names = words.select("word").distinct()
-    pieces = parts(names, vocabulary).select("word", F.col("part").alias("key"))
-    roots = families(names, vocabulary).select("word", F.col("member").alias("key"))
-    claimed = pieces.unionByName(roots).distinct().withColumnRenamed("word", "other")
     both = lambda df: df.unionByName(df.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    kinds = [
-        pieces.join(claimed, "key").select(F.col("word").alias("a"), F.col("other").alias("b")),
-        roots.join(claimed, "key").select(F.col("word").alias("a"), F.col("other").alias("b")),
-        both(contained_pairs(names)),
-        sound_pairs(words, words, threshold).select("a", "b"),
-        both(keystroke_pairs(names)),
-    ]
-    edges = reduce(DataFrame.unionByName, (df.withColumn("kind", F.lit(k)) for k, df in enumerate(kinds)))
+    found = {2: both(contained_pairs(names)), 3: sound_pairs(words, words, threshold).select("a", "b"), 4: both(keystroke_pairs(names))}
+    edges = reduce(DataFrame.unionByName, (df.withColumn("kind", F.lit(k)) for k, df in found.items()))
     return edges.filter("a != b").groupBy(F.col("a").alias("word"), F.col("b").alias("other")).agg(F.min("kind").alias("kind"))
 
 
-def first_fit(vertices: DataFrame, edges: DataFrame, claim: str | None = None) -> DataFrame:
+def _decided(table: pa.Table) -> pa.Table:
+    """Which vertices are taken, one after the other: rows with `other` are conflicts with earlier ones, rows with `key` their keys, all others the vertices."""
+    table = table.combine_chunks()
+    arc, keyed = table.filter(pc.is_valid(table["other"])), table.filter(pc.is_valid(table["key"]))
+    ids = np.sort(table.filter(pc.and_(pc.is_null(table["other"]), pc.is_null(table["key"])))["order"].to_numpy())
+    every = np.arange(len(ids) + 1)
+    later, earlier = (np.searchsorted(ids, arc[c].to_numpy()) for c in ("order", "other"))
+    by = np.argsort(earlier, kind="stable")
+    later, begins = later[by], np.searchsorted(earlier[by], every)
+    owner, key = np.searchsorted(ids, keyed["order"].to_numpy()), np.unique(keyed["key"].to_numpy(), return_inverse=True)[1]
+    by = np.argsort(owner, kind="stable")
+    key, starts = key[by], np.searchsorted(owner[by], every)
+    blocked, taken, used = np.zeros(len(ids), bool), np.zeros(len(ids), bool), np.zeros(len(key), bool)
+    for k in range(len(ids)):
+        own = key[starts[k] : starts[k + 1]]
+        if not blocked[k] and not used[own].any():
+            taken[k] = used[own] = True
+            blocked[later[begins[k] : begins[k + 1]]] = True
+    return pa.table({"order": ids, "taken": taken})
+
+
+def first_fit(vertices: DataFrame, edges: DataFrame, claim: str | None = None, keys: DataFrame | None = None) -> DataFrame:
     """Rows (word, order, taken): the set that taking vertices in order makes, each if no taken one is joined to it.
 
-    vertices: rows (word, order), order unique; edges: rows (word, other), in both directions. In each
-    round every undecided vertex without an undecided neighbour before it is taken, and the neighbours of
-    those go. Each round decides the first undecided word at least, so it comes to an end; how many rounds
-    there are is the length of the longest chain of conflicts in order, half of it where every second word goes.
+    vertices: rows (word, order), order unique; edges: rows (word, other), in both directions. The first
+    vertices in order go to one task with the conflicts among them, about BLOCK rows in all, which takes
+    them one after the other; the neighbours of those taken go, and the next block is what is first then.
+    So the rounds are as many as blocks and don't depend on how long chains of conflicts are.
 
     claim: a column of vertices; words with the same one are joined to each other, without a row for each pair.
+    keys: rows (word, key), any number for a word; as claim.
     """
-    claims = [claim] if claim else []
-    order = vertices.select("word", "order", *claims)
-    arc_order = order.select("word", "order")
-    arcs = written(edges.select("word", "other").join(arc_order, "word").join(arc_order.select(F.col("word").alias("other"), F.col("order").alias("other_order")), "other").filter("other_order < order").select("word", "other").distinct())
-    open_, decided, rounds = written(order), None, 0
-    while not open_.isEmpty():
-        live = arcs.join(open_.select("word"), "word", "left_semi").join(open_.select(F.col("word").alias("other")), "other", "left_semi")
-        free = open_.join(live.select("word").distinct(), "word", "left_anti")
-        if claim:
-            free = free.join(open_.groupBy(claim).agg(F.min("order").alias("order")), [claim, "order"], "left_semi")
-        taken = written(free.select("word", "order", *claims, F.lit(True).alias("taken")))
-        gone = arcs.join(taken.select(F.col("word").alias("other")), "other", "left_semi").select("word")
-        if claim:
-            gone = gone.unionByName(open_.join(taken.select(claim), claim, "left_semi").join(taken.select("word"), "word", "left_anti").select("word"))
-        now = written(taken.unionByName(open_.join(gone.distinct(), "word", "left_semi").withColumn("taken", F.lit(False))))
+    names = written(vertices.select("word", "order"))
+    number = names.schema["order"].dataType
+    arcs = written(edges.select("word", "other").join(names, "word").join(names.select(F.col("word").alias("other"), F.col("order").alias("other_order")), "other")
+                   .filter("other_order < order").select("order", F.col("other_order").alias("other")).distinct())
+    held = [keys.join(names, "word").select("order", F.concat(F.lit("k"), "key").alias("key"))] if keys is not None else []
+    held += [vertices.filter(F.col(claim).isNotNull()).select("order", F.concat(F.lit("c"), F.col(claim).cast("string")).alias("key"))] if claim else []
+    owned = written(reduce(DataFrame.unionByName, held).distinct()) if held else names.select("order", F.lit("").alias("key")).limit(0)
+    left, decided = names.select("order"), None
+    none = lambda kind: F.lit(None).cast(kind)
+    while not left.isEmpty():
+        rows = left.select("order", none(number).alias("other"), none("string").alias("key"))
+        rows = rows.unionByName(arcs.withColumn("key", none("string"))).unionByName(owned.select("order", none(number).alias("other"), "key"))
+        rows = written(rows)
+        total, last = rows.count(), None
+        if total > BLOCK:
+            last = max(rows.approxQuantile("order", [BLOCK / total], 0.001)[0], left.agg(F.min("order")).first()[0])
+            rows = rows.filter(F.col("order") <= last)
+        now = written(rows.withColumn("_one", F.lit(0)).groupBy("_one").applyInArrow(_decided, f"order {number.simpleString()}, taken boolean"))
         decided = now if decided is None else decided.unionByName(now)
-        rounds += 1
-        if rounds % 16 == 0:
-            decided = written(decided)
-        open_ = written(open_.join(now.select("word"), "word", "left_anti"))
-    return decided.drop(*claims) if decided is not None else arc_order.withColumn("taken", F.lit(False))
-
-
-def select(candidates: DataFrame, edges: DataFrame, size: int | None = None, prefix: int = PREFIX) -> tuple[DataFrame, DataFrame]:
+        if last is None:
+            break
+        taken, after = now.filter("taken").select("order"), F.col("order") > last
+        gone = arcs.filter(after).join(taken.withColumnRenamed("order", "other"), "other", "left_semi").select("order")
+        used = owned.join(taken, "order", "left_semi").select("key").distinct()
+        gone = written(gone.unionByName(owned.filter(after).join(used, "key", "left_semi").select("order")).distinct())
+        decided = decided.unionByName(gone.withColumn("taken", F.lit(False)))
+        left = written(left.filter(after).join(gone, "order", "left_anti"))
+        owned = written(owned.join(left, "order", "left_semi").select("order", "key"))
+        arcs = written(arcs.join(left, "order", "left_semi").join(left.withColumnRenamed("order", "other"), "other", "left_semi").select("order", "other"))
+    return names.withColumn("taken", F.lit(False)) if decided is None else names.join(decided, "order").select("word", "order", "taken")
+
+
+def select(candidates: DataFrame, edges: DataFrame, size: int | None = None, prefix: int = PREFIX, keys: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The chosen words, rows (word, order, round), and the tallies of what was turned away, rows (kind, n).
 
-    candidates: rows (word, order); edges: of conflicts(). First come words whose first letters are still
+    candidates: rows (word, order); edges: of conflicts(), or of close() with keys of claims(), of which
+    no pairs are made: the same list, by rows in proportion to the words. First come words whose first letters are still
     free, then all others, in order, so a free prefix is a preference and never costs a word. A word is
     tallied each time it is tested, under the first reason, until the list has its size.
     """
     start = F.substring("word", 1, prefix)
     pairs = written(edges.select("word", "other", "kind"))
-    one = written(first_fit(candidates.select("word", "order", start.alias("p")), pairs, claim="p"))
+    keys = written(keys) if keys is not None else None
+    one = written(first_fit(candidates.select("word", "order", start.alias("p")), pairs, claim="p", keys=keys))
     first = one.filter("taken").select("word", "order")
     # The second round begins with those of the first already on the list.
     top = candidates.agg(F.max("order")).first()[0] or 0
     shifted = candidates.join(first.select("word"), "word", "left_anti").select("word", (F.col("order") + top).alias("order")).unionByName(first)
-    two = written(first_fit(shifted, pairs.select("word", "other")).withColumn("round", F.when(F.col("order") <= top, 1).otherwise(2)))
+    two = written(first_fit(shifted, pairs.select("word", "other"), keys=keys).withColumn("round", F.when(F.col("order") <= top, 1).otherwise(2)))
     chosen = two.filter("taken").select("word", "order", "round")
     if size is not None:
         chosen = chosen.orderBy("order").limit(size)
@@ -105,6 +149,10 @@ def select(candidates: DataFrame, edges: DataFrame, size: int | None = None, pre
     by = chosen.select(F.col("word").alias("other"), F.col("order").alias("other_order"))
     tests = one.filter("not taken").select("word", "order", F.lit(1).alias("round")).unionByName(two.filter("not taken").select("word", "order", F.lit(2).alias("round")))
     met = tests.filter(F.col("order") <= last).join(pairs, "word").join(by, "other").filter("other_order < order")
+    met = met.select("word", "round", "kind")
+    if keys is not None:
+        taken = keys.join(by.withColumnRenamed("other", "word"), "word").groupBy("key").agg(F.min("other_order").alias("other_order"))
+        met = met.unionByName(tests.filter(F.col("order") <= last).join(keys, "word").join(taken, "key").filter("other_order < order").select("word", "round", "kind"))
     reasons = met.groupBy("word", "round").agg(F.min("kind").alias("kind"))
     # In the first round a word whose prefix is taken isn't tested at all.
     claimed = by.groupBy(F.substring("other", 1, prefix).alias("p")).agg(F.min("other_order").alias("other_order"))

@@ -342,8 +342,8 @@ def greedy_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = tables.written(spoken_tokens(spark, sf_dir))
     ranked = wordlists.ranked(words.withColumn("position", F.col("word"))).select("word", "phonemes", (F.col("rank") + 1).alias("order"))
     ranked = tables.written(ranked)
-    edges = selection.conflicts(ranked.select("word", "phonemes"), words.select("word"))
-    chosen, _ = selection.select(ranked.select("word", "order"), edges)
+    spoken = ranked.select("word", "phonemes")
+    chosen, _ = selection.select(ranked.select("word", "order"), selection.close(spoken), keys=selection.claims(spoken, words.select("word")))
     return chosen.select("word", F.col("order").cast("long").alias("order"), F.col("round").cast("long").alias("round"))
 
 

@@ -80,3 +80,30 @@ def test_greedy_select(spark, words, folder):
                 want[w] = k
                 starts.add(w[:3])
     assert {r.word: r["round"] for r in queries.QUERIES["greedy_select"](spark, folder).collect()} == want
+
+
+@pytest.mark.parametrize("block", [10**6, 400])
+def test_chains_take_blocks_and_not_rounds(spark, monkeypatch, block):
+    """A chain of conflicts as long as the list, beside claims and keys that several words have."""
+    rng, n, tables_written = random.Random(8), 300, []
+    monkeypatch.setattr(selection, "BLOCK", block, raising=False)
+    inner = selection.written
+    monkeypatch.setattr(selection, "written", lambda df: tables_written.append(1) or inner(df))
+    arcs = {(k, k - 1) for k in range(1, n)} | {(k, rng.randrange(k)) for k in range(1, n)}
+    claims, keys = [rng.randrange(200) for _ in range(n)], [{rng.randrange(400) for _ in range(rng.randrange(3))} for _ in range(n)]
+    vertices = spark.createDataFrame([(f"w{k}", k, f"p{claims[k]}") for k in range(n)], "word string, order long, p string")
+    edges = spark.createDataFrame([(f"w{x}", f"w{y}") for a, b in arcs for x, y in ((a, b), (b, a))], "word string, other string")
+
+    def want(claims, keys):
+        taken = []
+        for k in range(n):
+            if not any((k, t) in arcs or claims and claims[k] == claims[t] or keys and keys[k] & keys[t] for t in taken):
+                taken.append(k)
+        return set(taken)
+
+    got = selection.first_fit(vertices, edges, claim="p").collect()
+    assert len(got) == n and {r.order for r in got if r.taken} == want(claims, None)
+    assert len(tables_written) < 30
+    shared = spark.createDataFrame([(f"w{k}", f"k{x}") for k in range(n) for x in keys[k]], "word string, key string")
+    got = selection.first_fit(vertices, edges, claim="p", keys=shared).collect()
+    assert len(got) == n and {r.order for r in got if r.taken} == want(claims, keys)
