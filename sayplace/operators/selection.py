@@ -44,9 +44,10 @@ def conflicts(words: DataFrame, vocabulary: DataFrame, threshold: float = 2.0) -
 
 def claims(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Rows (word, key, kind): what a word takes up; words with the same key conflict, for the later one's kind (of KINDS): a piece, else a root."""
+    # Each part is a query of its own here and in close(): the plan of all in one takes much of the driver's memory, again after each stage.
     names = words.select("word").distinct()
-    pieces = parts(names, vocabulary).select("word", F.col("part").alias("key"), F.lit(0).alias("kind"))
-    roots = families(names, vocabulary).select("word", F.col("member").alias("key"), F.lit(1).alias("kind"))
+    pieces = written(parts(names, vocabulary).select("word", F.col("part").alias("key"), F.lit(0).alias("kind")))
+    roots = written(families(names, vocabulary).select("word", F.col("member").alias("key"), F.lit(1).alias("kind")))
     return pieces.unionByName(roots).groupBy("word", "key").agg(F.min("kind").alias("kind"))
 
 
@@ -54,7 +55,7 @@ def close(words: DataFrame, threshold: float = 2.0) -> DataFrame:
     """Rows (word, other, kind) of the conflicts that aren't about keys: contained, sound, spelling."""
     names = words.select("word").distinct()
     both = lambda df: df.unionByName(df.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    found = {2: both(contained_pairs(names)), 3: sound_pairs(words, words, threshold).select("a", "b"), 4: both(keystroke_pairs(names))}
+    found = {2: both(written(contained_pairs(names))), 3: written(sound_pairs(words, words, threshold).select("a", "b")), 4: both(written(keystroke_pairs(names)))}
     edges = reduce(DataFrame.unionByName, (df.withColumn("kind", F.lit(k)) for k, df in found.items()))
     return edges.filter("a != b").groupBy(F.col("a").alias("word"), F.col("b").alias("other")).agg(F.min("kind").alias("kind"))
 
